@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import exact_dedup, simhash
+from foliospark.llm import exact_dedup, sentencepiece, simhash, substring_dedup
 from foliospark.llm.common import table
 
 
@@ -14,12 +15,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op5_exact_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_exact_dedup, op7_sentencepiece)}
 
 
 OP5_SQL = r"""
@@ -37,5 +46,27 @@ WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id NULLS LAST)
 """
 
 
+OP2_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50
+), windows AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS s FROM starts
+), first AS (
+  SELECT s, min(doc_id) AS low FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, unnest(range(i, i + 50)) AS place FROM windows JOIN first USING (s) WHERE low < doc_id
+), cover AS (
+  SELECT doc_id, list(DISTINCT place) AS places FROM gone GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda x, k: NOT list_contains(places, k)) END AS kept
+  FROM w LEFT JOIN cover USING (doc_id)
+)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
