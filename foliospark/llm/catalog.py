@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import exact_dedup, sentencepiece, simhash, substring_dedup
+from foliospark.llm import exact_dedup, mixing, sentencepiece, simhash, substring_dedup
 from foliospark.llm.common import table
 
 
@@ -23,12 +23,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_exact_dedup, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_exact_dedup, op6_mixing, op7_sentencepiece)}
 
 
 OP5_SQL = r"""
