@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, mixing, sentencepiece, simhash, substring_dedup, toxicity
+from foliospark.llm import exact_dedup, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
 from foliospark.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op5_exact_dedup, op6_mixing, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece)}
 
 
 OP5_SQL = r"""

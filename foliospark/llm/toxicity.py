@@ -58,7 +58,7 @@ def _marks(word: str) -> list[str]:
 def _features(word: str) -> tuple[list[int], list[int], list[int]]:
     """Hashed features of a word as the one tagged, as the one before, as the one after."""
     low = word.lower()
-    own = _marks(word) + ["^" + low[:3], "$" + low[-3:], "#" + str(min(len(low), 12)), "U" + str(word[:1].isupper())]
+    own = _marks(word) + ["^" + low[:3], "$" + low[-3:], "#" + str(min(len(low), 12))]
     spot = lambda names: [xxhash.xxh64_intdigest(n) >> (64 - BITS) for n in names]
     return spot(own), spot(["<=" + low, "<^" + low[:5]]), spot([">=" + low, ">^" + low[:5]])
 
@@ -73,7 +73,7 @@ def toxic_marks(texts: list[list[str]], labels: list[int]) -> set[str]:
                 for m in _marks(w):
                     contexts[m].add(around)
     toxic, clean = sum(labels), len(labels) - sum(labels)
-    least = max(3, 0.004 * toxic)
+    least = max(4, 0.008 * toxic)
     likely = {m for m, c in contexts.items() if len(c) >= least}
     elsewhere: dict[str, int] = defaultdict(int)
     for words, y in zip(texts, labels):
