@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
+from foliospark.llm import exact_dedup, flac, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
 from foliospark.llm.common import table
 
 
@@ -43,8 +43,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.features(flac.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_flac_media)}
 
 
 OP5_SQL = r"""
