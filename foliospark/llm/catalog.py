@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, flac, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
+from foliospark.llm import exact_dedup, flac, html_text, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
 from foliospark.llm.common import table
 
 
@@ -47,8 +47,12 @@ def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.features(flac.store(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_flac_media)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_flac_media, op9_html_extraction)}
 
 
 OP5_SQL = r"""
