@@ -35,10 +35,11 @@ from foliospark.llm.common import cut, parallelism
 WINDOW = 50
 MINIMISER = 6
 #: Bytes of text that a worker takes as one block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Super-k-mers that recurred in a worker and are remembered by it.
-POPULAR = 50_000
-BUCKETS_A_PARTITION = 8
+POPULAR = 10_000
+#: Words of a bucket that are sorted at once; minimisers part the bucket.
+SORTED_WORDS = 200_000
 #: Stands for a null id: larger than any other, so never the earlier document.
 NO_ID = (1 << 63) - 1
 
@@ -110,21 +111,20 @@ def super_kmers(lengths: np.ndarray, words: Words, window: int, minimiser: int)
     return doc[at], starts[at], np.diff(np.append(at, len(starts))), least[at]
 
 
-def _pack(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, texts: list[bytes], ranges: list[tuple[int, int, int, int]]) -> bytes:
+def _pack(doc: np.ndarray, row: np.ndarray, pos: np.ndarray, n: np.ndarray, least: np.ndarray, texts: list[bytes], ranges: list[tuple[int, int, int, int]]) -> bytes:
     body = b"\n".join(texts)
     head = np.array([len(doc), len(ranges), len(body)], np.int64)
     known = np.array(ranges, np.int64).reshape(-1, 4)
-    parts = (head, doc.astype(np.int64), row.astype(np.int64), pos.astype(np.int64), n.astype(np.int64), known)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts) + body)
+    parts = (head, doc.astype(np.int64), row.astype(np.int64), pos.astype(np.int64), n.astype(np.int64), least.astype(np.uint64), known)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + body)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     k, r, size = np.frombuffer(raw, np.int64, 3)
-    numbers = np.frombuffer(raw, np.int64, 4 * k + 4 * r, 24)
-    doc, row, pos, n = numbers[: 4 * k].reshape(4, k)
+    numbers = np.frombuffer(raw, np.int64, 5 * k + 4 * r, 24)
     texts = raw[len(raw) - size :].split(b"\n") if k else []
-    return doc, row, pos, n, texts, numbers[4 * k :].reshape(r, 4)
+    return numbers[: 5 * k].reshape(5, k), texts, numbers[5 * k :].reshape(r, 4)
 
 
 def _sender(buckets: int, window: int, minimiser: int):
@@ -161,7 +161,7 @@ def _sender(buckets: int, window: int, minimiser: int):
             own = order[a:b]
             go, stay = own[sent[own]], own[~sent[own]]
             ranges = list(zip(doc[stay].tolist(), row[stay].tolist(), pos[stay].tolist(), (pos + n)[stay].tolist()))
-            yield int(bucket[own[0]]), _pack(doc[go], row[go], pos[go], n[go], [packed[i] for i in go.tolist()], ranges)
+            yield int(bucket[own[0]]), _pack(doc[go], row[go], pos[go], n[go], least[go], [packed[i] for i in go.tolist()], ranges)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         popular: dict[bytes, int] = {}
@@ -185,58 +185,77 @@ def _sender(buckets: int, window: int, minimiser: int):
     return send
 
 
-def repeated_ranges(blobs: list[bytes], window: int) -> np.ndarray:
-    """Of one bucket's super-k-mers: rows (doc, row, start, stop) of words that repeat a smaller document."""
-    known, first, records = [], {}, []
+def repeated_ranges(blobs: Iterator[bytes], window: int, at_once: int = SORTED_WORDS) -> np.ndarray:
+    """Of one bucket's super-k-mers: rows (doc, row, start, stop) of words that repeat a smaller document.
+
+    Equal strings are combined first; what is left is sorted in parts by
+    minimiser, as equal windows have equal minimisers.
+    """
+    known: list[tuple[int, int, int, int]] = []
+    lists, first, records = [], {}, []
     for blob in blobs:
-        doc, row, pos, n, texts, ranges = _unpack(blob)
-        known.append(ranges)
-        for rec in zip(doc.tolist(), row.tolist(), pos.tolist(), n.tolist(), texts):
-            held = first.get(rec[4])
-            if held is None or rec[0] <= records[held][0]:
-                if held is not None and rec[0] < records[held][0]:
-                    d, r, p, k, _ = records[held]
-                    known.append(np.array([[d, r, p, p + k]], np.int64))
-                    records[held] = rec
-                else:
-                    first.setdefault(rec[4], len(records))
-                    records.append(rec)
-            else:
-                known.append(np.array([[rec[0], rec[1], rec[2], rec[2] + rec[3]]], np.int64))
-    del first
-    n = np.array([r[3] for r in records], np.int64)
-    words = Words(b" ".join([r[4] for r in records]).split())
-    doc, row, pos = (np.array([r[k] for r in records], np.int64) for k in range(3))
+        numbers, texts, ranges = _unpack(blob)
+        lists.append(ranges)
+        for *rec, text in zip(*numbers.tolist(), texts):
+            rec.append(text)
+            held = first.setdefault(text, len(records))
+            if held == len(records) or rec[0] == records[held][0]:
+                records.append(rec)
+                continue
+            if rec[0] < records[held][0]:
+                records[held], rec = rec, records[held]
+            known.append((rec[0], rec[1], rec[2], rec[2] + rec[3]))
+    # Where equal strings had come with equal ids, some may exceed an id that came later.
+    low = {text: records[i][0] for text, i in first.items()}
+    known += [(r[0], r[1], r[2], r[2] + r[3]) for r in records if r[0] > low[r[5]]]
+    records = [r for r in records if r[0] == low[r[5]]]
+    del first, low
+    lists.append(np.array(known, np.int64).reshape(-1, 4))
+    parts = max(1, -(-sum(r[3] for r in records) // at_once))
+    dealt: list[list] = [[] for _ in range(parts)]
+    for r in records:
+        dealt[(r[4] >> 20) % parts].append(r)
     del records
+    return np.concatenate(lists + [_recurring(part, window) for part in dealt])
+
+
+def _recurring(records: list[list], window: int) -> np.ndarray:
+    """The ranges of windows that recur in a larger document, by sorting all windows."""
+    doc, row, pos, n = (np.array([r[k] for r in records], np.int64) for k in range(4))
+    words = Words(b" ".join([r[5] for r in records]).split())
+    before = np.cumsum(n) - n
     counts = n - window + 1
-    at = np.repeat(np.cumsum(n) - n, counts) + _spans(counts)
+    offset = _spans(counts)
+    at = np.repeat(before, counts) + offset
     of = np.repeat(np.arange(len(n)), counts)
-    if len(at):
-        hashes = words.runs(window)[at]
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        again = np.zeros(len(order) + 1, bool)
-        again[1:-1] = ordered[1:] == ordered[:-1]
-        shared = order[again[:-1] | again[1:]]  # windows whose hash recurs, in hash order
-        begins = np.flatnonzero(~again[:-1][again[:-1] | again[1:]])
-        if len(shared):
-            groups = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(shared))))
-            groups = _told_apart(words.ids, at[shared], groups, begins, window)
-            low = np.full(groups.max() + 1, NO_ID, np.int64)
-            np.minimum.at(low, groups, doc[of[shared]])
-            gone = np.sort(shared[doc[of[shared]] > low[groups]])
-            new = np.ones(len(gone), bool)
-            new[1:] = (gone[1:] != gone[:-1] + 1) | (of[gone[1:]] != of[gone[:-1]])
-            a = np.flatnonzero(new)
-            b = np.append(a[1:], len(gone))[: len(a)] - 1
-            if len(gone):
-                r = of[gone[a]]
-                offset = (at - (np.cumsum(n) - n)[of])
-                known.append(np.stack([doc[r], row[r], pos[r] + offset[gone[a]], pos[r] + offset[gone[b]] + window], 1))
-    return np.concatenate(known) if known else np.zeros((0, 4), np.int64)
-
-
-def _told_apart(ids: np.ndarray, at: np.ndarray, groups: np.ndarray, begins: np.ndarray, window: int, step: int = 65536) -> np.ndarray:
+    nothing = np.zeros((0, 4), np.int64)
+    if not len(at):
+        return nothing
+    hashes = words.runs(window)[at]
+    order = np.argsort(hashes, kind="stable")
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = hashes[order[1:]] == hashes[order[:-1]]
+    recurs = same[:-1] | same[1:]
+    shared, begins = order[recurs], np.flatnonzero(~same[:-1][recurs])
+    if not len(shared):
+        return nothing
+    groups = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(shared))))
+    groups = _told_apart(words.ids, at[shared], groups, begins, window)
+    whose = doc[of[shared]]
+    low = np.full(groups.max() + 1, NO_ID, np.int64)
+    np.minimum.at(low, groups, whose)
+    gone = np.sort(shared[whose > low[groups]])
+    if not len(gone):
+        return nothing
+    new = np.ones(len(gone), bool)
+    new[1:] = (gone[1:] != gone[:-1] + 1) | (of[gone[1:]] != of[gone[:-1]])
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(gone)) - 1
+    r = of[gone[a]]
+    return np.stack([doc[r], row[r], pos[r] + offset[gone[a]], pos[r] + offset[gone[b]] + window], 1)
+
+
+def _told_apart(ids: np.ndarray, at: np.ndarray, groups: np.ndarray, begins: np.ndarray, window: int, step: int = 16384) -> np.ndarray:
     """Groups of windows with equal hashes, split where their words differ."""
     wrong = []
     reach = np.arange(window)
@@ -294,8 +313,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
 
     Removed is each word covered by a window whose words also start in a
-    document with a smaller id. ``buckets`` is eight times the session's
-    shuffle partitions unless given; a bucket is handled at once in a worker.
+    document with a smaller id. ``buckets`` is the session's number of
+    shuffle partitions unless given; a worker holds one bucket's strings.
 
     Defined results: null and empty texts have no words; texts shorter than a
     window keep all; a null id counts as larger than any other and null ids do
@@ -306,7 +325,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a minimiser has between one word and a window's")
     spark = docs.sparkSession
     parts = parallelism(spark)
-    buckets = buckets or parts * BUCKETS_A_PARTITION
+    buckets = buckets or parts
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
     blobs = keyed.mapInArrow(_sender(buckets, window, minimiser), _BLOB)
