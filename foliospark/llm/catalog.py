@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import exact_dedup, flac, html_text, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
+from foliospark.llm import exact_dedup, flac, html_text, line_dedup, mixing, quality, sentencepiece, simhash, substring_dedup, toxicity
 from foliospark.llm.common import table
 
 
@@ -51,8 +51,12 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_flac_media, op9_html_extraction)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_toxicity, op4_quality, op5_exact_dedup, op6_mixing, op7_sentencepiece, op8_flac_media, op9_html_extraction, op10_line_dedup)}
 
 
 OP5_SQL = r"""
@@ -92,5 +96,37 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 """
 
 
+OP10_SQL = r"""
+WITH every AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents WHERE text <> ''
+), solid AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos FROM every WHERE regexp_matches(line, '\S')
+), pairs AS (
+  SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM solid
+), later AS (
+  SELECT doc_id, pos FROM (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS nth FROM pairs WHERE b IS NOT NULL
+  ) WHERE nth > 1
+), gone AS (
+  SELECT doc_id, pos FROM later UNION SELECT doc_id, pos + 1 FROM later
+), runs AS (
+  SELECT doc_id, count(*) AS k FROM (
+    SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM gone
+  ) GROUP BY doc_id, run
+), runs_by_doc AS (
+  SELECT doc_id, sum(k) AS n_removed, count(*) AS n_runs, max(k) AS longest_run FROM runs GROUP BY doc_id
+), kept AS (
+  SELECT e.doc_id, string_agg(e.line, chr(10) ORDER BY e.place) AS text
+  FROM every e LEFT JOIN solid s USING (doc_id, place) LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.pos = s.pos
+  WHERE g.pos IS NULL GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_lines, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(r.n_runs, 0) AS n_runs, coalesce(r.longest_run, 0) AS longest_run, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM solid GROUP BY doc_id) n USING (doc_id)
+LEFT JOIN runs_by_doc r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op10_line_dedup": OP10_SQL, "op2_substring_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL}
