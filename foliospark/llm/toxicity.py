@@ -20,7 +20,6 @@ whose hashed ids are smallest; the bounds are parameters.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_TOXIC = 1500
-TRAIN_CLEAN = 2500
+TRAIN_TOXIC = 1200
+TRAIN_CLEAN = 1800
 FOLDS = 5
 BITS = 18
 SEGMENT = 256
@@ -63,24 +62,60 @@ def _features(word: str) -> tuple[list[int], list[int], list[int]]:
     return spot(own), spot(["<=" + low, "<^" + low[:5]]), spot([">=" + low, ">^" + low[:5]])
 
 
-def toxic_marks(texts: list[list[str]], labels: list[int]) -> set[str]:
-    """Word features with many contexts in toxic documents and hardly any in others."""
-    contexts: dict[str, set[int]] = defaultdict(set)
-    for words, y in zip(texts, labels):
-        if y:
-            for i, w in enumerate(words):
-                around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-                for m in _marks(w):
-                    contexts[m].add(around)
-    toxic, clean = sum(labels), len(labels) - sum(labels)
-    least = max(4, 0.008 * toxic)
-    likely = {m for m, c in contexts.items() if len(c) >= least}
-    elsewhere: dict[str, int] = defaultdict(int)
-    for words, y in zip(texts, labels):
-        if not y:
-            for m in {m for w in set(words) for m in _marks(w)} & likely:
-                elsewhere[m] += 1
-    return {m for m in likely if elsewhere[m] * toxic <= 0.02 * len(contexts[m]) * max(clean, 1)}
+class Sample:
+    """Documents as word numbers, laid end to end, with their words' features."""
+
+    def __init__(self, texts: list[str]) -> None:
+        known: dict[str, int] = {}
+        ids = [np.fromiter((known.setdefault(m[0], len(known)) for m in _WORD.finditer(t)), np.int32) for t in texts]
+        self.words = list(known)
+        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        none = len(known)
+        first = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        self.before, self.after = np.full(len(self.ids), none, np.int32), np.full(len(self.ids), none, np.int32)
+        self.before[1:], self.after[:-1] = self.ids[:-1], self.ids[1:]
+        if len(first):
+            self.before[first] = none
+            self.after[np.append(first[1:], len(self.ids)) - 1] = none
+        unused = 1 << BITS
+        found = [_features(w) for w in self.words] + [([], [], [])]
+        self.features = [np.array([f[k] + [unused] * (width - len(f[k])) for f in found], np.int32).reshape(-1, width) for k, width in enumerate((8, 2, 2))]
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Features of the words at places, a row each; the last index is unused."""
+        return np.hstack([f[i[at]] for f, i in zip(self.features, (self.ids, self.before, self.after))])
+
+
+def toxic_marks(s: Sample, toxic: np.ndarray) -> np.ndarray:
+    """Whether each known word has a feature with many contexts in toxic documents and hardly any in others.
+
+    ``toxic`` says it of each document.
+    """
+    doc = np.repeat(np.arange(len(s.lengths)), s.lengths)
+    names: dict[str, int] = {}
+    marks = [[names.setdefault(m, len(names)) for m in _marks(w)] for w in s.words]
+    width = max(map(len, marks), default=1)
+    table = np.array([m + [-1] * (width - len(m)) for m in marks], np.int64).reshape(-1, width)
+
+    def spread(where: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Of each mark, the number of different kinds among the words at places."""
+        out = np.zeros(len(names), np.int64)
+        for k in range(width):  # prefixes of different lengths are different marks
+            m = table[s.ids[where], k]
+            pairs = np.unique(np.stack([m[m >= 0], kind[m >= 0]], 1), axis=0)
+            out += np.bincount(pairs[:, 0], minlength=len(names))
+        return out
+
+    bad = toxic[doc]
+    there = np.flatnonzero(bad)
+    around = s.before[there].astype(np.int64) << 32 | s.after[there]
+    contexts, holders = spread(there, around), spread(there, doc[there])
+    others = np.flatnonzero(~bad)
+    elsewhere = spread(others, doc[others])
+    n, rest = toxic.sum(), (~toxic).sum()
+    marked = (contexts >= max(4, 0.008 * n)) & (elsewhere * n <= 0.02 * holders * max(rest, 1))
+    return (marked[table] & (table >= 0)).any(1) if len(table) else np.zeros(0, bool)
 
 
 def forward_backward(odds: np.ndarray, lengths: np.ndarray, step: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,50 +194,38 @@ def _summary(p: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 1) -> Chain:
     """A chain trained on three in four of the documents and calibrated on the others."""
     chain = Chain()
-    words = [_WORD.findall(t) for t in texts]
     rng = np.random.default_rng(seed)
     apart = rng.random(len(texts)) < 0.25
     fit = [i for i in range(len(texts)) if not apart[i]]
-    marks = toxic_marks([words[i] for i in fit], [labels[i] for i in fit])
-    known: dict[str, tuple[list[int], list[int], list[int], bool]] = {}
-    none: list[int] = []
-    pieces = []
-    for i in fit:
-        rows = []
-        for w in words[i]:
-            if w not in known:
-                known[w] = (*_features(w), not marks.isdisjoint(_marks(w)))
-            rows.append(known[w])
-        for at in range(0, len(rows), SEGMENT):
-            part = rows[max(0, at - 1) : at + SEGMENT + 1]
-            lead = int(at > 0)
-            own = range(lead, lead + len(rows[at : at + SEGMENT]))
-            spots = [part[k][0] + (part[k - 1][1] if k else none) + (part[k + 1][2] if k + 1 < len(part) else none) for k in own]
-            pieces.append((spots, np.array([float(labels[i] and part[k][3]) for k in own])))
-    squares, step_squares = np.full(1 << BITS, 0.1), np.full((2, 2), 1.0)
-    bias_square = 1.0
+    known = Sample([texts[i] for i in fit])
+    toxic = np.array([labels[i] for i in fit], bool)
+    goal = (np.append(toxic_marks(known, toxic), False)[known.ids] & np.repeat(toxic, known.lengths)).astype(float)
+    ends = np.cumsum(known.lengths)
+    pieces = [(a, min(a + SEGMENT, e)) for s, e in zip((ends - known.lengths).tolist(), ends.tolist()) for a in range(s, e, SEGMENT)]
+    weights = np.zeros((1 << BITS) + 1)  # the last belongs to no feature
+    squares, step_squares, bias_square = np.full(len(weights), 0.1), np.full((2, 2), 1.0), 1.0
     for _ in range(epochs):
         for block in np.array_split(rng.permutation(len(pieces)), max(1, len(pieces) // 64)):
-            own = sorted((pieces[k] for k in block if len(pieces[k][1])), key=lambda x: -len(x[1]))
+            own = sorted((pieces[k] for k in block.tolist()), key=lambda x: x[0] - x[1])
             if not own:
                 continue
-            size = np.array([len(y) for _, y in own])
-            counts = np.array([len(s) for spots, _ in own for s in spots])
-            flat = np.fromiter((s for spots, _ in own for x in spots for s in x), np.int64, int(counts.sum()))
-            token = np.repeat(np.arange(len(counts)), counts)
-            u = np.bincount(token, chain.weights[flat], len(counts)) + chain.bias
+            size = np.array([b - a for a, b in own])
+            place = np.concatenate([np.arange(a, b) for a, b in own])
+            spots = known.of(place)
+            u = weights[spots].sum(1) + chain.bias
             t = np.arange(size[0])[:, None]
             inside = t < size
             at = np.where(inside, np.cumsum(size) - size + t, 0)
-            y = np.where(inside, np.concatenate([y for _, y in own])[at], 0.0)
+            y = np.where(inside, goal[place][at], 0.0)
             step = np.exp(chain.step)
             ahead, behind, after = forward_backward(np.where(inside, np.exp(np.clip(u, -30, 30))[at], 1.0), size, step, np.exp(chain.start))
             p = ahead * behind / (1 + ahead * behind)
-            error = np.zeros(len(counts))
+            error = np.zeros(len(place))
             error[at[inside]] = (y - p)[inside]
-            g = np.bincount(flat, error[token], 1 << BITS) - 1e-4 * chain.weights
+            g = np.bincount(spots.ravel(), np.repeat(error, spots.shape[1]), len(weights)) - 1e-4 * weights
+            g[-1] = 0
             squares += g * g
-            chain.weights += 0.5 * g / np.sqrt(squares)
+            weights += 0.5 * g / np.sqrt(squares)
             bias_square += error.sum() ** 2
             chain.bias += 0.5 * error.sum() / np.sqrt(bias_square)
             paired = inside[1:]
@@ -213,8 +236,10 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             seen = np.array([[((1 - y0) * (1 - y1)).sum(), ((1 - y0) * y1).sum()], [(y0 * (1 - y1)).sum(), (y0 * y1).sum()]])
             step_squares += (seen - expected) ** 2
             chain.step += 0.2 * (seen - expected) / np.sqrt(step_squares)
+    chain.weights = weights[:-1]
+    del known
     rest = [i for i in range(len(texts)) if apart[i]] or fit
-    tagged = tag(chain, [words[i] for i in rest])
+    tagged = [p for i in range(0, len(rest), 256) for p in tag(chain, [_WORD.findall(texts[k]) for k in rest[i : i + 256]])]
     chain.calibration = _logistic(np.array([_summary(p) for p in tagged]), np.array([labels[i] for i in rest], float))
     return chain
 
