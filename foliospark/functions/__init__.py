@@ -1,0 +1 @@
+"""Column expressions, and the few pandas UDFs that they need."""

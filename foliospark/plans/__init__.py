@@ -1,0 +1 @@
+"""Ready-made jobs and the driver's queries."""
