@@ -24,6 +24,7 @@ empty result; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,7 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import HOT_SHARE, cut, join_by_group, unbroken
 
 #: Ranks are decimals: code points * 2**65 + (2**63 - id), or + 0 for a null id.
-_STEP = F.expr("36893488147419103232BD").cast("decimal(20,0)")
-_TOP = F.expr("9223372036854775808BD").cast("decimal(19,0)")
+_STEP, _TOP = Decimal(1 << 65), Decimal(1 << 63)
 
 
 def sha256_of(text: Column) -> Column:
@@ -40,8 +40,8 @@ def sha256_of(text: Column) -> Column:
 
 
 def _rank(n: Column, doc: Column) -> Column:
-    place = F.coalesce((_TOP - doc.cast("decimal(19,0)")).cast("decimal(20,0)"), F.expr("0BD").cast("decimal(20,0)"))
-    return (n.cast("decimal(10,0)") * _STEP + place).cast("decimal(38,0)")
+    place = F.coalesce((F.lit(_TOP) - doc.cast("decimal(19,0)")).cast("decimal(20,0)"), F.lit(Decimal(0)).cast("decimal(20,0)"))
+    return (n.cast("decimal(10,0)") * F.lit(_STEP) + place).cast("decimal(38,0)")
 
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_of, salts: int = 16) -> DataFrame:
@@ -82,9 +82,9 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
 def _unranked() -> list[Column]:
     """The winner's code points and id, from its rank."""
-    n = F.floor((F.col("_best") / _STEP).cast("decimal(38,10)")).cast("int")
-    low = (F.col("_best") - (n.cast("decimal(10,0)") * _STEP).cast("decimal(38,0)")).cast("decimal(20,0)")
-    return [n.alias("_best_n"), F.when(low > 0, (_TOP - low).cast("bigint")).alias("keep_id")]
+    n = F.floor((F.col("_best") / F.lit(_STEP)).cast("decimal(38,10)")).cast("int")
+    low = (F.col("_best") - (n.cast("decimal(10,0)") * F.lit(_STEP)).cast("decimal(38,0)")).cast("decimal(20,0)")
+    return [n.alias("_best_n"), F.when(low > 0, (F.lit(_TOP) - low).cast("bigint")).alias("keep_id")]
 
 
 def _one_winner(found: DataFrame) -> DataFrame:
