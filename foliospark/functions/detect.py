@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark import schema as S
 from foliospark.functions.text import suffix_of
@@ -29,7 +30,7 @@ def _mapped(key: Column, table: dict[str, str], otherwise: Column) -> Column:
 
 def as_latin(data: Column) -> Column:
     """Bytes as characters one to one, for patterns."""
-    return F.decode(data, F.lit("ISO-8859-1"))
+    return F.decode(data, "ISO-8859-1")
 
 
 def sniff_mime(data: Column, name: Column | None = None) -> Column:
@@ -61,7 +62,7 @@ def is_textual(data: Column) -> Column:
     return (F.octet_length(head) > 0) & ~F.contains(F.substring(data, 1, 1024), F.lit(b"\0")) & (F.is_valid_utf8(head.cast("string")) | western) & (control < 0.05 * F.octet_length(head))
 
 
-@F.pandas_udf("struct<names:array<string>,mimetype:string>")
+@F.pandas_udf(T.StructType().add("names", T.ArrayType(T.StringType())).add("mimetype", T.StringType()))
 def zip_facts(content: pd.Series) -> pd.DataFrame:
     """Member names of zips and the text of ``mimetype``; null for anything else."""
     from foliospark.sources.sniff import zip_facts as facts
@@ -129,7 +130,7 @@ def can_render(kind: Column, has_soffice: bool) -> Column:
     return kind.isin("pdf", "image") | (kind.isin(*CONVERTIBLE) & F.lit(has_soffice))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def charset_of(content: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The guessed encoding of HTML or text bytes."""
     from foliospark.sources.readers.markup import charset_of as guess

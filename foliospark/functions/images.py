@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliospark import schema as S
 
@@ -21,7 +22,7 @@ def _signed(data: Column, at: int) -> Column:
     return F.when(n >= 1 << 31, n - (1 << 32)).otherwise(n)
 
 
-@F.pandas_udf("struct<width:bigint,height:bigint>")
+@F.pandas_udf(T.StructType().add("width", T.LongType()).add("height", T.LongType()))
 def jpeg_size(data: pd.Series) -> pd.DataFrame:
     """Of JPEG bytes; null for anything else."""
     from foliospark.sources.probe import jpeg_size as walk

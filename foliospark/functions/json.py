@@ -8,6 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _FENCE = re.compile(r"```(?:json)?\s*(.+?)```", re.S)
 
@@ -37,7 +38,7 @@ def _finite(value: object) -> object:
     return [_finite(v) for v in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_reply(reply: pd.Series) -> pd.Series:
     """The object of a reply as canonical JSON, or null. Numbers that are not finite become null.
 

@@ -74,13 +74,13 @@ def read(
         if not fields:
             raise ValueError("pass either fields= or prompt=")
         prompt = build_prompt(fields, instructions)
-    full = to_content(prepared, prompt, dialect)
+    full = to_content(prepared.withColumn("_plain_notes", F.col("notes")), prompt, dialect)
     pixels = needs_vision(F.col("strategy")) | F.lit(not skip_vision_when_text)
     asked = full.withColumns(
         {
             "images_sent": F.when(pixels, F.col("images_sent")).otherwise(0),
             "content": F.when(pixels, F.col("content")).otherwise(F.array(text_part(F.lit(prompt)), text_part(F.concat(F.lit(TEXT_PREFIX), F.col("text"))))),
-            "notes": F.when(pixels, F.col("notes")).otherwise(prepared["notes"]),
+            "notes": F.when(pixels, F.col("notes")).otherwise(F.col("_plain_notes")),
         }
     )
     blocked = F.when(F.col("strategy") == "empty", NOTHING).when(pixels & (F.col("images_sent") == 0) & is_blank(F.col("text")), UNSENDABLE)

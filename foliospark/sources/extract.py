@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
 
 from foliospark import schema as S
+from foliospark.functions.text import stripped
 from foliospark.sources import readers
 from foliospark.sources.draft import Draft, Options
 from foliospark.sources.sniff import detect
@@ -76,23 +77,36 @@ def _with_siblings(files: DataFrame) -> DataFrame:
     return pages.join(sets, "folder", "left").select("path", "content", "beside").unionByName(files.filter(~page).withColumn("beside", F.lit(None).cast("array<struct<name:string,data:binary>>")))
 
 
-def text_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def text_block(text: Column, role: Column | str = "paragraph", pos: Column | int = 0) -> Column:
+    """One text block from columns."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    known = {"pos": lit(pos).cast("int"), "ord": lit(pos).cast("int"), "is_image": F.lit(False), "text": text, "role": lit(role)}
+    return F.struct(*[known[f.name].alias(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in DataType.fromDDL(S.BLOCK).fields])
+
+
+def image_block(pos: Column, order: Column, mime: Column, name: Column, width: Column, height: Column, nbytes: Column, sha256: Column) -> Column:
+    """One image block from columns; its bytes are elsewhere."""
+    known = {"pos": pos.cast("int"), "ord": order.cast("int"), "is_image": F.lit(True), "mime": mime, "name": name, "width": width.cast("int"), "height": height.cast("int"), "nbytes": nbytes.cast("int"), "sha256": sha256, "source": F.lit("embedded"), "referenced": F.lit(True)}
+    return F.struct(*[known[f.name].alias(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in DataType.fromDDL(S.BLOCK).fields])
+
+
+def document(doc_id: Column, name: Column, kind: Column | str, blocks: Column, root_id: Column | None = None, parent_id: Column | None = None, child_path: Column | None = None, origin: Column | None = None, n_children: Column | int = 0) -> list[Column]:
+    """The columns of ``schema.DOCUMENTS`` from columns, for tables that already hold text."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    none = F.lit(None)
+    at = F.array().cast("array<int>") if child_path is None else child_path
+    known = {
+        "doc_id": doc_id, "root_id": doc_id if root_id is None else root_id, "parent_id": none if parent_id is None else parent_id, "child_path": at, "depth": F.size(at), "path": doc_id if root_id is None else root_id,
+        "name": name, "origin": none if origin is None else origin, "kind": lit(kind), "n_children": lit(n_children), "blocks": blocks, "blobs": F.array(), "tables": F.array(), "meta": F.create_map(),
+        "sheet_names": none, "warnings": F.array(), "error": none,
+    }
+    return [known[f.name].cast(f.dataType).alias(f.name) for f in DataType.fromDDL(S.DOCUMENTS).fields]
+
+
+def text_documents(df: DataFrame, id_col: str, text_col: str, kind: Column | str = "text") -> DataFrame:
     """Text columns as documents of one paragraph, without any Python.
 
     Equal to reading each text as a ``.txt`` file of under four million bytes.
     """
-    from foliospark.functions.text import stripped
-
-    text = stripped(F.coalesce(F.col(text_col), F.lit("")))
-    block = F.struct(
-        F.lit(0).alias("pos"), F.lit(0).alias("ord"), F.lit(False).alias("is_image"), text.alias("text"), F.lit("paragraph").alias("role"),
-        *[F.lit(None).cast(t).alias(n) for n, t in (("page", "int"), ("section", "string"), ("mime", "string"), ("name", "string"), ("width", "int"), ("height", "int"), ("nbytes", "int"), ("sha256", "string"), ("source", "string"), ("referenced", "boolean"))],
-    )
-    own = F.col(id_col).cast("string")
-    return df.select(
-        own.alias("doc_id"), own.alias("root_id"), F.lit(None).cast("string").alias("parent_id"), F.array().cast("array<int>").alias("child_path"), F.lit(0).alias("depth"),
-        own.alias("path"), own.alias("name"), F.lit(None).cast("string").alias("origin"), F.lit("text").alias("kind"), F.lit(0).alias("n_children"),
-        F.when(text != "", F.array(block)).otherwise(F.array().cast(f"array<{S.BLOCK}>")).alias("blocks"), F.array().cast("array<struct<sha256:string,data:binary>>").alias("blobs"),
-        F.array().cast("array<struct<ord:int,section:string,rows:array<array<string>>>>").alias("tables"), F.create_map().cast("map<string,string>").alias("meta"),
-        F.lit(None).cast("array<string>").alias("sheet_names"), F.array().cast("array<string>").alias("warnings"), F.lit(None).cast("struct<type:string,message:string>").alias("error"),
-    )
+    text, own = stripped(F.coalesce(F.col(text_col), F.lit(""))), F.col(id_col).cast("string")
+    return df.select(*document(own, own, kind, F.when(text != "", F.array(text_block(text))).otherwise(F.array())))
