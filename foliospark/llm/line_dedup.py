@@ -95,7 +95,8 @@ def suffix_ranks(sequences: DataFrame, depth: int | None) -> DataFrame:
     that go on.
     """
     place = Window.partitionBy("doc", "row").orderBy("pos")
-    items = cut(sequences)
+    # Rows that repeat a document stand once; they meet by document, where suffixes are needed together too.
+    items = cut(sequences.repartition("doc", "row").dropDuplicates(["doc", "row", "pos"]))
     total = items.count()
     keys = _numbered(items.groupBy("high", "low").agg(F.count("*").alias("n")), ["high", "low"])
     keyed = lambda df, *c: df.withColumn("_k", F.xxhash64(*c))
