@@ -34,6 +34,8 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that show nothing, and so part no words.
+_UNSEEN = frozenset("script style template noscript title head".split())
 #: A start tag closes these if they are open, up to a table or list that holds them.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPE = frozenset("ul ol dl table select html body article section div".split())
@@ -161,7 +163,10 @@ def _blocks(node: Node) -> Iterator[str]:
         x = stack.pop()
         if isinstance(x, str):
             yield x
-        elif not x.gone:
+        elif x.gone:
+            if x.tag not in _INLINE and x.tag not in _UNSEEN:
+                yield "\x1f"
+        else:
             block = x.tag not in _INLINE
             if block:
                 yield "\x1f"
