@@ -13,6 +13,13 @@ holds, only the one of the smallest document is sent, and the others are
 known to repeat it already. A passage that a third of all documents share so
 reaches its bucket once a worker's block, not once a document.
 
+Word runs that many documents hold make poor minimisers: at the edges of a
+passage that many documents share, every document's own words would follow it
+into one bucket. So runs that a sample of documents shows to be frequent, and
+runs of one repeated word, are minimisers only where a window has no other. Of
+windows that have no other, many are equal and combined. This decides where
+windows are compared and never which are equal.
+
 The strings of one block and bucket are packed and compressed together. Which
 words to remove goes back as ranges, joined to the documents by a key of id
 and text.
@@ -40,6 +47,11 @@ BLOCK_BYTES = 4 << 20
 POPULAR = 10_000
 #: Words of a bucket that are sorted at once; minimisers part the bucket.
 SORTED_WORDS = 200_000
+#: One in so many documents is sampled for frequent runs; a run is frequent in this share of them.
+SAMPLED = 32
+FREQUENT = 0.0005
+#: Frequent runs that are remembered, most frequent first: what is sent to all workers is bounded.
+FREQUENT_RUNS = 20_000
 #: Stands for a null id: larger than any other, so never the earlier document.
 NO_ID = (1 << 63) - 1
 
@@ -96,14 +108,61 @@ def _spans(counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def super_kmers(lengths: np.ndarray, words: Words, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+class Order:
+    """The order of word runs in which the least is a window's minimiser."""
+
+    def __init__(self, frequent: np.ndarray, minimiser: int) -> None:
+        self.minimiser, self.frequent = minimiser, np.sort(frequent.astype(np.uint64))
+        self.maybe = np.zeros(1 << 18, bool)
+        self.maybe[(self.frequent & np.uint64(0x3FFFF)).astype(np.int64)] = True
+
+    def values(self, words: Words) -> np.ndarray:
+        """A value for each run: mixed hashes, with frequent runs and those of one word last."""
+        out = _mixed(words.runs(self.minimiser)) >> np.uint64(1)
+        if not len(out):
+            return out
+        late = np.zeros(len(out), bool)
+        if self.minimiser > 1:
+            other = np.concatenate([[0], np.cumsum(words.ids[1:] != words.ids[:-1])])
+            late |= other[self.minimiser - 1 :] == other[: len(out)]
+        hits = np.flatnonzero(self.maybe[(out & np.uint64(0x3FFFF)).astype(np.int64)])
+        if len(hits) and len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, out[hits]), len(self.frequent) - 1)
+            late[hits[self.frequent[at] == out[hits]]] = True
+        return np.where(late, out | np.uint64(1 << 63), out)
+
+
+def _sampled_runs(minimiser: int):
+    plain = Order(np.zeros(0, np.uint64), minimiser)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                values = np.unique(plain.values(Words((t.as_py() or "").encode().split())))
+                low = values[values < np.uint64(1 << 60)]  # an eighth of all: others are rarely least
+                if len(low):
+                    yield pa.RecordBatch.from_arrays([pa.array(low.astype(np.int64))], ["run"])
+
+    return run
+
+
+def frequent_runs(docs: DataFrame, id_col: str, text_col: str, minimiser: int) -> np.ndarray:
+    """Order values of runs that many of the sampled documents hold."""
+    picked = docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(SAMPLED)) == 0).select(F.col(text_col).cast("string"))
+    counts = picked.mapInArrow(_sampled_runs(minimiser), "run bigint").groupBy("run").agg(F.count("*").alias("n"))
+    n = docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(SAMPLED)) == 0).count()
+    often = counts.filter(F.col("n") >= max(3.0, FREQUENT * n)).orderBy(F.desc("n"), "run").limit(FREQUENT_RUNS)
+    return np.array([r["run"] for r in often.select("run").collect()], np.uint64)
+
+
+def super_kmers(lengths: np.ndarray, words: Words, window: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents laid end to end: each super-k-mer's document, first word, number of windows, minimiser."""
     counts = np.maximum(lengths - window + 1, 0)
     first = np.cumsum(lengths) - lengths
     starts = np.repeat(first, counts) + _spans(counts)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = _least(_mixed(words.runs(minimiser)), window - minimiser + 1)[starts]
+    least = _least(order.values(words), window - order.minimiser + 1)[starts]
     doc = np.repeat(np.arange(len(lengths)), counts)
     new = np.ones(len(starts), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
@@ -127,12 +186,12 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return numbers[: 5 * k].reshape(5, k), texts, numbers[5 * k :].reshape(r, 4)
 
 
-def _sender(buckets: int, window: int, minimiser: int):
+def _sender(buckets: int, window: int, order: Order):
     def block(docs: list[int], rows: list[int], texts: list[bytes], popular: dict[bytes, int]) -> Iterator[tuple[int, bytes]]:
         split = [t.split() for t in texts]
         lengths = np.array([len(x) for x in split], np.int64)
         words = [w for x in split for w in x]
-        whose, start, count, least = super_kmers(lengths, Words(words), window, minimiser)
+        whose, start, count, least = super_kmers(lengths, Words(words), window, order)
         if not len(start):
             return
         joined = b" ".join(words)
@@ -155,10 +214,10 @@ def _sender(buckets: int, window: int, minimiser: int):
             if p in popular or len(popular) < POPULAR:
                 popular[p] = smallest[p]
         bucket = (_mixed(least) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-        for a, b in zip(edges, np.append(edges[1:], len(order))):
-            own = order[a:b]
+        by_bucket = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(by_bucket))):
+            own = by_bucket[a:b]
             go, stay = own[sent[own]], own[~sent[own]]
             ranges = list(zip(doc[stay].tolist(), row[stay].tolist(), pos[stay].tolist(), (pos + n)[stay].tolist()))
             yield int(bucket[own[0]]), _pack(doc[go], row[go], pos[go], n[go], least[go], [packed[i] for i in go.tolist()], ranges)
@@ -328,8 +387,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = buckets or parts
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    blobs = keyed.mapInArrow(_sender(buckets, window, minimiser), _BLOB)
-    dealt = blobs.repartition(min(parts, buckets), "bucket").sortWithinPartitions("bucket")
+    blobs = keyed.mapInArrow(_sender(buckets, window, Order(frequent_runs(docs, id_col, text_col, minimiser), minimiser)), _BLOB)
+    dealt = blobs.repartitionById(min(parts, buckets), F.pmod("bucket", F.lit(min(parts, buckets)))).sortWithinPartitions("bucket")
     ranges = cut(dealt.mapInArrow(_receiver(window), _RANGE))
     each = ranges.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     marked = own.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("doc_id", "text")).join(each, ["doc", "row"], "left")
