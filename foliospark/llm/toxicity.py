@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,22 @@ def _marks(word: str) -> list[str]:
     return ["=" + low] + ["^" + low[:n] for n in range(4, 8) if len(low) >= n]
 
 
-def _features(word: str) -> tuple[list[int], list[int], list[int]]:
-    """Hashed features of a word as the one tagged, as the one before, as the one after."""
-    low = word.lower()
-    own = _marks(word) + ["^" + low[:3], "$" + low[-3:], "#" + str(min(len(low), 12))]
-    spot = lambda names: [xxhash.xxh64_intdigest(n) >> (64 - BITS) for n in names]
-    return spot(own), spot(["<=" + low, "<^" + low[:5]]), spot([">=" + low, ">^" + low[:5]])
+def _feature_table(words: list[str]) -> list[np.ndarray]:
+    """Hashed features of words, a row each: as the one tagged, as the one before, as the one after.
+
+    Places that a word does not fill hold ``1 << BITS``, which belongs to no feature.
+    """
+    hashed, unused, shift = xxhash.xxh64_intdigest, 1 << BITS, 64 - BITS
+    own, before, after = [], [], []
+    for word in words:
+        low = word.lower()
+        head = low[:5]
+        marks = _marks(word)
+        names = [*marks, "^" + low[:3], "$" + low[-3:], f"#{min(len(low), 12)}"]
+        own.append([hashed(n) >> shift for n in names] + [unused] * (8 - len(names)))
+        before.append((hashed("<=" + low) >> shift, hashed("<^" + head) >> shift))
+        after.append((hashed(">=" + low) >> shift, hashed(">^" + head) >> shift))
+    return [np.array(x, np.int32).reshape(-1, n) for x, n in ((own, 8), (before, 2), (after, 2))]
 
 
 class Sample:
@@ -78,9 +89,8 @@ class Sample:
         if len(first):
             self.before[first] = none
             self.after[np.append(first[1:], len(self.ids)) - 1] = none
-        unused = 1 << BITS
-        found = [_features(w) for w in self.words] + [([], [], [])]
-        self.features = [np.array([f[k] + [unused] * (width - len(f[k])) for f in found], np.int32).reshape(-1, width) for k, width in enumerate((8, 2, 2))]
+        none_row = lambda x: np.full((1, x.shape[1]), 1 << BITS, np.int32)
+        self.features = [np.vstack([x, none_row(x)]) for x in _feature_table(self.words)]
 
     def of(self, at: np.ndarray) -> np.ndarray:
         """Features of the words at places, a row each; the last index is unused."""
@@ -161,9 +171,6 @@ class Chain:
     start: float = 0.0
     calibration: np.ndarray = field(default_factory=lambda: np.array([-4.0, 4.0, 2.0, 2.0]))
 
-    def emissions(self, word: str) -> tuple[float, float, float]:
-        return tuple(float(self.weights[spots].sum()) for spots in _features(word))
-
     def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Marginals of state 1 for sequences laid end to end."""
         out = np.zeros(len(scores))
@@ -255,22 +262,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def tag(chain: Chain, texts: list[list[str]], known: dict[str, int] | None = None, table: list | None = None) -> list[np.ndarray]:
-    """Each word's marginal, for every text. ``known`` and ``table`` are kept between calls."""
-    known, table = ({}, []) if known is None else (known, table)
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-        table.clear()
-    for words in texts:
-        for w in set(words):
-            if w not in known:
-                known[w] = len(table)
-                table.append(chain.emissions(w))
+class Lexicon:
+    """Words with their numbers and emission scores: as the word tagged, as the one before, as the one after."""
+
+    def __init__(self, chain: Chain, size: int = KNOWN_WORDS) -> None:
+        self.weights, self.size = np.append(chain.weights, 0.0), size
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((1024, 3))
+
+    def numbers(self, texts: list[list[str]]) -> np.ndarray:
+        if len(self.known) > self.size:
+            self.known = {}
+        known, had = self.known, len(self.known)
+        ids = np.fromiter((known.setdefault(w, len(known)) for x in texts for w in x), np.int64)
+        if len(known) > had:
+            new = list(islice(known, had, None))
+            if len(known) > len(self.values):
+                self.values = np.vstack([self.values, np.zeros((len(known), 3))])
+            for k, spots in enumerate(_feature_table(new)):
+                self.values[had : len(known), k] = self.weights[spots].sum(1)
+        return ids
+
+
+def tag(chain: Chain, texts: list[list[str]], lexicon: Lexicon | None = None) -> list[np.ndarray]:
+    """Each word's marginal, for every text. A ``lexicon`` may be kept between calls."""
+    lexicon = lexicon or Lexicon(chain)
     lengths = np.array([len(x) for x in texts], np.int64)
-    ids = np.fromiter((known[w] for x in texts for w in x), np.int64, int(lengths.sum()))
+    ids = lexicon.numbers(texts)
     if not len(ids):
         return [np.zeros(0)] * len(texts)
-    values = np.array(table)[ids]
+    values = lexicon.values[ids]
     scores = values[:, 0] + chain.bias
     inner = np.ones(len(ids), bool)  # words with one before them in the text
     inner[(np.cumsum(lengths) - lengths)[lengths > 0]] = False
@@ -323,7 +344,7 @@ def score(docs: DataFrame, model: Chain | float, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = {}, []
+        lexicon = None if isinstance(model, float) else Lexicon(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -331,7 +352,7 @@ def score(docs: DataFrame, model: Chain | float, id_col: str = "doc_id", text_co
                 if isinstance(model, float):
                     scores, found = [model] * len(texts), [[] for _ in texts]
                 else:
-                    marginals = tag(model, [_WORD.findall(t) for t in texts], known, table)
+                    marginals = tag(model, [_WORD.findall(t) for t in texts], lexicon)
                     scores = [model.score(p) for p in marginals]
                     found = [spans(t, p) for t, p in zip(texts, marginals)]
                 yield pa.RecordBatch.from_arrays(
