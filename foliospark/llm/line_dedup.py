@@ -76,7 +76,7 @@ def _numbered(keys: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct keys with ``start``, the sum of ``n`` over all smaller keys."""
     spark = keys.sparkSession
     dealt = keys.repartitionByRange(parallelism(spark), *columns).sortWithinPartitions(*columns)
-    local = cut(dealt.mapInArrow(_running, keys.schema.add("part", T.IntegerType()).add("before", T.LongType())))
+    local = cut(dealt.mapInArrow(_running, T.StructType([*keys.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])))
     sums = {r["part"]: r["n"] for r in local.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     offsets, at = [], 0
     for part in sorted(sums):
