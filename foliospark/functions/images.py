@@ -41,16 +41,18 @@ def image_size(data: Column, jpeg: bool = False) -> Column:
     starts = lambda b: F.startswith(data, F.lit(b))
     chunk = F.substring(data, 13, 4)
     webp = starts(b"RIFF") & (F.substring(data, 9, 4) == F.lit(b"WEBP"))
-    bits = _number(data, 21, 4, True)
+    low = lambda at, n: F.coalesce(_number(data, at, n, True), F.lit(0))  # noqa: E731  bytes that are missing count as zero
+    bits = low(21, 4)
     out = (
         F.when(starts(b"\x89PNG\r\n\x1a\n") & (chunk == F.lit(b"IHDR")) & long(24), _size(_number(data, 16, 4), _number(data, 20, 4)))
         .when((starts(b"GIF87a") | starts(b"GIF89a")) & long(10), _size(_number(data, 6, 2, True), _number(data, 8, 2, True)))
         .when(starts(b"BM") & long(26), _size(F.abs(_signed(data, 18)), F.abs(_signed(data, 22))))
-        .when(webp & (chunk == F.lit(b"VP8X")) & long(30), _size(_number(data, 24, 3, True) + 1, _number(data, 27, 3, True) + 1))
+        .when(webp & (chunk == F.lit(b"VP8X")), _size(low(24, 3) + 1, low(27, 3) + 1))
         .when(webp & (chunk == F.lit(b"VP8 ")) & long(30), _size(_number(data, 26, 2, True).bitwiseAND(F.lit(0x3FFF)), _number(data, 28, 2, True).bitwiseAND(F.lit(0x3FFF))))
-        .when(webp & (chunk == F.lit(b"VP8L")) & long(25), _size(bits.bitwiseAND(F.lit(0x3FFF)) + 1, F.shiftright(bits, 14).bitwiseAND(F.lit(0x3FFF)) + 1))
+        .when(webp & (chunk == F.lit(b"VP8L")), _size(bits.bitwiseAND(F.lit(0x3FFF)) + 1, F.shiftright(bits, 14).bitwiseAND(F.lit(0x3FFF)) + 1))
     )
-    return F.coalesce(out, jpeg_size(F.when(starts(b"\xff\xd8"), data))) if jpeg else out
+    walked = jpeg_size(F.when(starts(b"\xff\xd8"), data))
+    return F.coalesce(out, F.when(walked["width"].isNotNull(), walked)) if jpeg else out
 
 
 def pixels(width: Column, height: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from foliospark.functions.text import base64_of, is_blank, stripped
 from foliospark.schema import API_SAFE_MIMES, MAX_EDGE, VECTOR_MIMES
@@ -78,7 +79,7 @@ def normalized(images: DataFrame, max_edge: int | None = MAX_EDGE) -> DataFrame:
             yield frame
 
     rest = images.filter(~vector & (~safe | big))
-    return plain.unionByName(rest.mapInPandas(run, rest.schema.add("usable", "boolean")))
+    return plain.unionByName(rest.mapInPandas(run, StructType([*rest.schema.fields, StructField("usable", BooleanType())])))
 
 
 def to_content(prepared: DataFrame, prompt: Column | str, dialect: str = "openai", include_text_layer: bool = True, blobs: str = "blobs") -> DataFrame:

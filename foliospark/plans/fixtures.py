@@ -130,7 +130,8 @@ def odf(paragraphs: list[str], rows: list[list[str]] | None = None, image: bytes
 
 
 def rtf(lines: list[str], image: bytes | None = None) -> bytes:
-    code = lambda c: c if " " <= c < "\x7f" and c not in "\\{}" else "\\" + c if c in "\\{}" else f"\\u{ord(c) if ord(c) < 32768 else ord(c) - 65536}?"
+    units = lambda c: [int.from_bytes(c.encode("utf-16-le")[i : i + 2], "little", signed=True) for i in range(0, len(c.encode("utf-16-le")), 2)]
+    code = lambda c: c if " " <= c < "\x7f" and c not in "\\{}" else "\\" + c if c in "\\{}" else "".join(f"\\u{n}?" for n in units(c))
     text = "\\par ".join("".join(map(code, x)) for x in lines)
     pict = "{\\pict\\pngblip\\picw10 " + image.hex() + "}" if image is not None else ""
     return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}{\\colortbl;}{\\*\\generator x;}{\\info{\\author A}}" + text + "\\par" + pict + "}").encode("ascii")
