@@ -44,17 +44,20 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 #: Elements that are never main text, by kind, by role and by words of their class or id.
 _NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object embed svg canvas audio video map dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
+_COMMENTS = frozenset("comment comments respond disqus".split())
+_HEADERS = frozenset("header masthead topbar banner".split())
 _WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar"
-    " cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended comment comments respond disqus pagination pager toolbar widget banner".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer"
+    " cookie cookies consent notice notices gdpr newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended pagination pager toolbar widget".split()
 )
 
 
 class Node:
-    __slots__ = ("attributes", "children", "gone", "hash", "tag")
+    __slots__ = ("attributes", "children", "gone", "hash", "holds", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.attributes, self.children, self.gone, self.hash = tag, attributes, [], False, 0
+        self.holds = False  # an article or main element, so no class makes it a sidebar
 
 
 def parse(page: str) -> Node:
@@ -84,6 +87,9 @@ def parse(page: str) -> Node:
         _imply_ends(open_, tag)
         node = Node(tag, m[3])
         open_[-1].children.append(node)
+        if tag in ("article", "main") and not any(n.tag == "article" for n in open_):
+            for holder in open_:
+                holder.holds = True
         if tag in _RAW:
             close = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(page, at)
             node.children.append(page[at : close.start() if close else end])
@@ -106,9 +112,9 @@ def _imply_ends(open_: list[Node], tag: str) -> None:
             return
 
 
-def _classed(node: Node) -> bool:
-    """Whether a node is dropped for its kind, role, class or id."""
-    if node.tag in _NEVER:
+def _classed(node: Node, inside: bool) -> bool:
+    """Whether a node is dropped for its kind, role, class or id; ``inside`` an article headers stay."""
+    if node.tag in _NEVER or node.tag == "header" and not inside:
         return True
     if not node.attributes:
         return False
@@ -116,8 +122,12 @@ def _classed(node: Node) -> bool:
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id") and not _WORDS.isdisjoint(re.split(r"[^a-z]+", value)) and node.tag not in ("html", "body", "article", "main"):
-            return True
+        if name in ("class", "id") and node.tag not in ("html", "body"):
+            words = set(re.split(r"[^a-z]+", value))
+            if words & _COMMENTS and node.tag != "main":
+                return True
+            if node.tag not in ("article", "main") and not node.holds and (words & _WORDS or not inside and words & _HEADERS):
+                return True
     return False
 
 
@@ -145,7 +155,7 @@ def _mark(root: Node, template: frozenset[int]) -> list[Node]:
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        node.gone = _classed(node) or node.tag == "header" and not inside or node.hash in template and node.tag not in ("#page", "html", "body")
+        node.gone = _classed(node, inside) or node.hash in template and node.tag not in ("#page", "html", "body")
         if node.gone:
             continue
         if node.tag == "article" and not inside:

@@ -190,7 +190,8 @@ PAGES = "page_id bigint, url string, html string"
         ("<nav>n</nav><div class='ad'>z</div><p>x<footer>f</footer>", "x"), ("<script>if(a<b)</p></script><style>p{}</style><p>x", "x"), ("<p>a<!-- <p>no --> b</p>", "a b"),
         ("<article>x<div class='comments'>c</div><aside>s</aside><form>f</form>y</article>", "x y"), ("<ul><li>a<li>b</ul>", "a b"), ("<table><tr><td>1<td>2<tr><td>3</table>", "1 2 3"),
         ("<p title=\"a>b\">x</p>", "x"), ("<p>cut off <b", "cut off"), ("<p>1 < 2 &copy; &#233;&nbsp;y", "1 < 2 © é y"), ("<body><header>h</header><main><p>m</main><p>o", "m"), ("</p></div>x", "x"),
-        ("<article><header><h1>T</h1></header>x</article>", "T x"), ("<p>a<div role=navigation>n</div>b", "a b"), ("<p hidden>h</p>x", "x"), ("<textarea><p>t</textarea>x", "x"),
+        ("<article><header><h1>T</h1></header>x</article>", "T x"), ("<p>a<div role=navigation>n</div>b", "a b"), ("<p hidden>h</p>x", "x"), ("<div class='has-sidebar'><article class=post><div class=entry-header>T</div><p>x</article></div>", "T x"),
+        ("<article>x</article><section id=comments><article>c</article></section><article class='comment'>d</article>", "x"), ("<div class='page-header'>h</div>x", "x"), ("<textarea><p>t</textarea>x", "x"),
     ],
 )
 def test_main_text(page, text):
