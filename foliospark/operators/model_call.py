@@ -67,8 +67,8 @@ def read(
 ) -> DataFrame:
     """Readings of prepared documents: ``doc_id, name, strategy, data, raw, used_vision, images_sent, model, notes, error, ok``.
 
-    ``data`` is canonical JSON. What needs no call never reaches Python; calls
-    run with one client a partition.
+    ``data`` is canonical JSON. Rows that need no call pass as they are, without
+    their content; calls run with one client a partition.
     """
     if prompt is None:
         if not fields:
@@ -86,7 +86,7 @@ def read(
     blocked = F.when(F.col("strategy") == "empty", NOTHING).when(pixels & (F.col("images_sent") == 0) & is_blank(F.col("text")), UNSENDABLE)
     rows = asked.withColumn("error", blocked).select("doc_id", "name", "strategy", "content", "images_sent", "notes", "error")
     rows = rows.withColumn("images_sent", F.when(F.col("strategy") == "empty", 0).otherwise(F.col("images_sent")))
-    schema = "doc_id string, name string, strategy string, images_sent int, notes array<string>, raw string, error string"
+    schema = "doc_id string, name string, strategy string, images_sent int, notes array<string>, error string, raw string"
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -94,23 +94,23 @@ def read(
         client = None
         for frame in frames:
             raws, errors = [], []
-            for content in frame["content"]:
-                raw, error = "", None
-                try:
-                    client = client or client_factory()
-                    reply = client.chat.completions.create(model=model, messages=[{"role": "user", "content": json.loads(content)}], temperature=temperature, max_tokens=max_tokens, **create_kwargs)
-                    raw = message_text(reply)
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
+            for content, error in zip(frame["content"], frame["error"]):
+                raw = ""
+                if content is not None:
+                    try:
+                        client = client or client_factory()
+                        reply = client.chat.completions.create(model=model, messages=[{"role": "user", "content": json.loads(content)}], temperature=temperature, max_tokens=max_tokens, **create_kwargs)
+                        raw = message_text(reply)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
                 raws.append(raw)
                 errors.append(error)
-            yield frame.drop(columns=["content"]).assign(raw=raws, error=errors)
+            yield frame.drop(columns=["content"]).assign(error=errors, raw=raws)
 
-    sent = rows.filter("error IS NULL").withColumn("content", F.to_json("content")).drop("error").mapInPandas(call, schema)
-    parsed = sent.withColumn("data", parse_reply("raw"))
-    parsed = parsed.withColumn("error", F.when(F.col("error").isNull() & F.col("data").isNull(), UNPARSABLE).otherwise(F.col("error")))
-    held = rows.filter("error IS NOT NULL").select("doc_id", "name", "strategy", "images_sent", "notes", F.lit("").alias("raw"), "error", F.lit(None).cast("string").alias("data"))
-    out = parsed.unionByName(held).withColumns({"used_vision": F.col("images_sent") > 0, "model": F.lit(model)})
+    sent = rows.withColumn("content", F.when(F.col("error").isNull(), F.to_json("content"))).mapInPandas(call, schema)
+    out = sent.withColumn("data", parse_reply("raw"))
+    out = out.withColumn("error", F.when(F.col("error").isNull() & F.col("data").isNull(), UNPARSABLE).otherwise(F.col("error")))
+    out = out.withColumns({"used_vision": F.col("images_sent") > 0, "model": F.lit(model)})
     return out.withColumn("ok", F.col("error").isNull() & F.col("data").isNotNull())
 
 

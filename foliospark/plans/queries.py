@@ -23,6 +23,7 @@ from foliospark.operators.prepare import finish, judged, prepare, prepare_all
 from foliospark.plans import report
 from foliospark.schema import FAMILY_OF, UNREADABLE
 from foliospark.sources.extract import document, extract, image_block, text_block, text_documents
+from foliospark.sources.tables import text_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +38,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return text_table(spark, sf_dir, name)
+
+
 def _kinds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(FAMILY_OF.items()), "kind string, family string")
 
@@ -55,13 +60,13 @@ def part_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    files = _texts(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     return dt.with_kind(files).select(F.col("path").cast("bigint").alias("doc_id"), "kind")
 
 
 @query
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _table(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    files = _texts(spark, sf_dir, "pages").select("page_id", F.lit("page").alias("path"), F.encode("html", "UTF-8").alias("content"))
     return dt.with_kind(files).select("page_id", "kind", dt.charset_of(F.col("content")).alias("charset"))
 
 
@@ -93,7 +98,7 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = text_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = text_documents(_texts(spark, sf_dir, "documents"), "doc_id", "text")
     ready = judged(docs.select("doc_id", "kind", views.body_text(F.col("blocks")).alias("text"), views.images(F.col("blocks")).alias("images")))
     return ready.select(F.col("doc_id").cast("bigint").alias("doc_id"), "strategy", F.get("notes", F.lit(0)).alias("note"))
 
@@ -123,7 +128,7 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _html_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return _texts(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
 
 
 @query
@@ -177,7 +182,7 @@ def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = image_block(F.col("pos"), F.col("ord"), F.col("mime"), F.col("name"), F.col("width"), F.col("height"), F.col("nbytes"), F.col("sha256"))
     sets = i.groupBy(F.col("doc_id").alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))).alias("s")).select("g", F.transform("s", lambda x: x["b"]).alias("images"))
     kinds = F.array(*[F.lit(k) for k in sorted(FAMILY_OF)])
-    d = _table(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % len(FAMILY_OF)).cast("int")).alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("raw"), (F.col("doc_id") % 400).alias("g"))
+    d = _texts(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % len(FAMILY_OF)).cast("int")).alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("raw"), (F.col("doc_id") % 400).alias("g"))
     empty = F.array().cast(i.select(F.array(block).alias("b")).schema["b"].dataType)
     return d.join(sets, "g", "left").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("root_id"), F.col("doc_id").cast("string").alias("name"), "kind", F.lit(0).alias("n_children"), tx.stripped(F.coalesce("raw", F.lit(""))).alias("text"), F.coalesce("images", empty).alias("images"))
 
@@ -303,7 +308,7 @@ def payload_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each text's bytes as an image part, in both dialects."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     part = lambda d: F.to_json(payload.image_part(F.lit("image/png"), data, d))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(payload.data_url(F.lit("image/png"), data), 256).alias("url_sha256"), F.sha2(part("openai"), 256).alias("openai_sha256"), F.sha2(part("anthropic"), 256).alias("anthropic_sha256"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", F.sha2(payload.data_url(F.lit("image/png"), data), 256).alias("url_sha256"), F.sha2(part("openai"), 256).alias("openai_sha256"), F.sha2(part("anthropic"), 256).alias("anthropic_sha256"))
 
 
 @query
@@ -346,7 +351,7 @@ class EchoClient:
 
 @query
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = text_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = text_documents(_texts(spark, sf_dir, "documents"), "doc_id", "text")
     read = model_call.read(prepare_all(docs, render_fallback=False), prompt="How long?", client_factory=EchoClient)
     return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ok", model_call.field(read, "chars").cast("bigint").alias("chars"), "error", "used_vision")
 
@@ -386,7 +391,7 @@ def roundtrip_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document written as a Word file, a paragraph a line, and read back."""
     from foliospark.plans import fixtures as fx
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = _texts(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     files = _written(docs, lambda r: fx.docx("".join(map(fx.para, r["text"].split("\n")))), F.col("doc_id").cast("string"))
     text = views.body_text(F.col("blocks"))
     return extract(files).select(F.col("doc_id").cast("bigint").alias("doc_id"), "kind", F.size("blocks").alias("n_blocks"), F.sha2(text, 256).alias("text_sha256"), F.element_at("meta", "author").alias("author"))
@@ -424,7 +429,7 @@ def roundtrip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as zips of their turns, read back as trees; turns that look like emails are read as such."""
     from foliospark.plans import fixtures as fx
 
-    turns = _table(spark, sf_dir, "conversations")
+    turns = _texts(spark, sf_dir, "conversations")
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
     files = _written(rows, lambda r: fx.zipped({f"{t['role']}/turn{t['turn']}.txt": t["text"] for t in r["turns"]}, compress=False), F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".zip")))
     docs = extract(files)
