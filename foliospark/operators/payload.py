@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from foliospark.functions.images import image_size
 from foliospark.functions.text import base64_of, is_blank, stripped
 from foliospark.schema import API_SAFE_MIMES, MAX_EDGE, VECTOR_MIMES
 
@@ -60,15 +65,22 @@ def _shrink(mime: str, data: bytes, max_edge: int | None) -> tuple[str, bytes] |
         return (mime, data) if mime in API_SAFE_MIMES else None
 
 
+def _needs_work(mime: Column, width: Column, height: Column, max_edge: int | None) -> Column:
+    """Whether a raster image must be converted or scaled before it is sent."""
+    big = F.coalesce(F.greatest(width, height), F.lit(0)) > (max_edge or 1 << 30)
+    return ~mime.isin(*VECTOR_MIMES) & (~mime.isin(*API_SAFE_MIMES) | big)
+
+
 def normalized(images: DataFrame, max_edge: int | None = MAX_EDGE) -> DataFrame:
     """Image rows (``mime, width, height, data``) ready to send, with ``usable``.
 
-    Images of a safe type and size stay as they are and never leave the JVM;
-    the rest go through Pillow where it is installed.
+    Sides that are not known are read from the bytes. Images of a safe type
+    and size stay as they are and never leave the JVM; the rest go through
+    Pillow where it is installed.
     """
-    big = F.coalesce(F.greatest("width", "height"), F.lit(0)) > (max_edge or 1 << 30)
-    vector, safe = F.col("mime").isin(*VECTOR_MIMES), F.col("mime").isin(*API_SAFE_MIMES)
-    plain = images.filter(vector | (safe & ~big)).withColumn("usable", ~vector)
+    sized = images.withColumn("_s", image_size(F.col("data"))).withColumns({"width": F.coalesce(F.col("width"), F.col("_s.width").cast("int")), "height": F.coalesce(F.col("height"), F.col("_s.height").cast("int"))}).drop("_s")
+    work = _needs_work(F.col("mime"), F.col("width"), F.col("height"), max_edge)
+    plain = sized.filter(~work).withColumn("usable", ~F.col("mime").isin(*VECTOR_MIMES))
 
     def run(frames):
         for frame in frames:
@@ -78,15 +90,51 @@ def normalized(images: DataFrame, max_edge: int | None = MAX_EDGE) -> DataFrame:
             frame["data"] = [n[1] if n else d for n, d in zip(made, frame["data"])]
             yield frame
 
-    rest = images.filter(~vector & (~safe | big))
+    rest = sized.filter(work)
     return plain.unionByName(rest.mapInPandas(run, StructType([*rest.schema.fields, StructField("usable", BooleanType())])))
 
 
+def with_sendable_images(prepared: DataFrame, max_edge: int | None = MAX_EDGE) -> DataFrame:
+    """Prepared rows whose kept images, and ``blobs``, are converted and scaled where that is needed and possible.
+
+    Only rows with such an image go to Python; the rest stay in the JVM.
+    """
+    work = F.exists("kept", lambda i: _needs_work(i["mime"], i["width"], i["height"], max_edge))
+    rest = prepared.filter(work)
+    kept_at, blobs_at = rest.columns.index("kept"), rest.columns.index("blobs")
+    schema = to_arrow_schema(rest.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from foliospark.sources.probe import image_size as size_of
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                data = {b["sha256"]: b["data"] for b in row[schema.names[blobs_at]]}
+                for image in row[schema.names[kept_at]]:
+                    big = max(image["width"] or 0, image["height"] or 0) > (max_edge or 1 << 30)
+                    if image["mime"] in VECTOR_MIMES or image["mime"] in API_SAFE_MIMES and not big:
+                        continue
+                    made = _shrink(image["mime"], data[image["sha256"]], max_edge)
+                    if made and made[1] != data[image["sha256"]]:
+                        sha = hashlib.sha256(made[1]).hexdigest()
+                        data[sha] = made[1]
+                        width, height = size_of(made[1]) or (image["width"], image["height"])
+                        image.update(mime=made[0], sha256=sha, nbytes=len(made[1]), width=width, height=height, source="rendered", section=None)
+                row[schema.names[blobs_at]] = [{"sha256": k, "data": v} for k, v in data.items()]
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    return prepared.filter(~work).unionByName(rest.mapInArrow(run, rest.schema))
+
+
 def to_content(prepared: DataFrame, prompt: Column | str, dialect: str = "openai", include_text_layer: bool = True, blobs: str = "blobs") -> DataFrame:
     """Adds ``content`` (message parts) and ``images_sent``, and notes on images that cannot be sent.
 
     ``blobs`` is the rows' array of image bytes by hash; without such a column
-    no image is sent.
+    no image is sent. ``with_sendable_images`` first converts and scales
+    images that cannot go as they are.
     """
     ask = F.lit(prompt) if isinstance(prompt, str) else prompt
     ok = F.filter("kept", sendable)

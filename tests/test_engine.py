@@ -351,3 +351,28 @@ def test_query_equals_sql(spark, oracle, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLE) == set(queries.QUERIES)
+
+
+def test_api_reads_files(spark):
+    from foliospark import api
+
+    own = files(spark, {k: v for k, v in MEMBERS.items() if k in ("d/set.zip", "d/typed.docx", "d/scan.docx", "d/pic.png")} | {"d/seal.png": SMALL})
+    each = {r["doc_id"]: r for r in api.read_all(own, {"n": "a number"}, client_factory=Fake).collect()}
+    assert set(each) == {"d/set.zip#0", "d/set.zip#1", "d/typed.docx", "d/scan.docx", "d/pic.png", "d/seal.png"}
+    assert all(r["ok"] for r in each.values()) and each["d/seal.png"]["images_sent"] == 1  # its own page, as the filter drops it
+    whole = {r["doc_id"]: r["images_sent"] for r in api.read_files(own, prompt="x", client_factory=Fake).collect()}
+    assert whole == {"d/set.zip": 1, "d/typed.docx": 0, "d/scan.docx": 1, "d/pic.png": 1, "d/seal.png": 1}
+    assert all(hasattr(api, n) for n in api.__all__)
+
+
+def test_images_that_cannot_be_converted_stay(docs):
+    ready = prepare_all(docs, render_fallback=False)
+    out = {r["doc_id"]: r for r in payload.with_sendable_images(ready, max_edge=100).collect()}
+    assert set(out) == {r["doc_id"] for r in ready.collect()}
+    kept = out["d/scan.docx"]["kept"][0]
+    held = {b["sha256"]: bytes(b["data"]) for b in out["d/scan.docx"]["blobs"]}
+    assert kept["sha256"] in held
+    try:
+        import PIL  # noqa: F401
+    except ImportError:
+        assert held[kept["sha256"]] == SCAN
