@@ -107,7 +107,7 @@ SELECT p_partkey, CASE k WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2
   ELSE CASE s WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/tiff' WHEN 3 THEN 'image/heic' WHEN 4 THEN 'image/svg+xml' ELSE 'application/octet-stream' END END AS mime FROM m""",
     "image_sizes": """
 WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 7 < 6 THEN p_size * 37 + 1 END AS w, CASE WHEN p_partkey % 7 < 6 THEN p_partkey % 1000 + 1 END AS h FROM part)
-SELECT p_partkey, CAST(w AS BIGINT) AS width, CAST(h AS BIGINT) AS height, CAST(w * h AS BIGINT) AS pixels FROM s""",
+SELECT p_partkey, coalesce(CAST(w AS BIGINT), -1) AS width, coalesce(CAST(h AS BIGINT), -1) AS height, coalesce(CAST(w * h AS BIGINT), -1) AS pixels FROM s""",
     "text_strategies": f"""
 WITH d AS (SELECT doc_id, {_DOC_TEXT} AS t FROM documents), s AS (SELECT *, {_TEXT_RULE} AS strategy FROM d)
 SELECT doc_id, strategy, strategy || ': ' || length(t) || ' body chars (threshold 120), 0 image(s) kept, 0 filtered out' AS note FROM s""",
@@ -123,7 +123,7 @@ WITH r AS ({_ROWS}), o AS (SELECT *, row_number() OVER (PARTITION BY r_name ORDE
 t AS (SELECT r_name, string_agg(n_name || ' | ' || n_nationkey, chr(10) ORDER BY i) AS text, 2 * count(*) AS n_cells, coalesce(max(CASE WHEN n_name = 'FRANCE' THEN CAST(n_nationkey AS VARCHAR) END), '') AS france FROM o GROUP BY r_name)
 SELECT r_name || '.csv' AS name, text, text AS piped, n_cells, france, i, n_name AS label, CAST(n_nationkey AS VARCHAR) AS value FROM o JOIN t USING (r_name)""",
     "image_reasons": f"WITH {_DEFAULT} SELECT pos AS p_partkey, why AS reason, ok1 AS accepted FROM done",
-    "image_filter": f"WITH {_filtered(200, 200, 15000, 90000, True, True, 3)} SELECT doc_id, pos AS p_partkey, status, reason, rank FROM done",
+    "image_filter": f"WITH {_filtered(200, 200, 15000, 90000, True, True, 3)} SELECT doc_id, pos AS p_partkey, status, reason, coalesce(rank, 0) AS rank FROM done",
     "filter_profiles": " UNION ALL ".join(f"(WITH {f} SELECT '{n}' AS profile, status, count(*) AS n FROM done GROUP BY status)" for n, f in (("default", _DEFAULT), ("strict", _STRICT), ("all", _filtered(0, 0, 0, 0, False, False, None)))),
     "strategies_with_images": f"WITH {_DEFAULT}, {_PICTURED_DEFAULT} SELECT doc_id, kind, strategy, n_kept, n_rejected FROM decided",
     "prepare_notes": f"""WITH {_STRICT}, {_PICTURED.format(threshold='500')}
@@ -176,10 +176,10 @@ SELECT d.doc_id, 1 + CASE WHEN text <> '' THEN 1 ELSE 0 END AS n_parts, 0 AS ima
     "prompts": f"""
 WITH f AS (SELECT n_regionkey, string_agg('  ' || n_name || ': number ' || n_nationkey, chr(10) ORDER BY n_nationkey) AS lines FROM nation GROUP BY 1)
 SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN '{model_call.ASK}' ELSE 'Look.' END || chr(10) || chr(10) || '{model_call.KEYS}' || chr(10) || lines || chr(10) || chr(10) || 'Rules:' || chr(10) || '{"' || chr(10) || '".join(model_call.RULES).replace('" || chr(10) || "', "' || chr(10) || '")}' AS prompt FROM f""",
-    "replies": "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, event_id % 6 < 4 AS parsed FROM events",
+    "replies": "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN CAST(json_extract(props, '$.k') AS BIGINT) ELSE -1 END AS k, event_id % 6 < 4 AS parsed FROM events",
     "readings": f"""
 WITH d AS (SELECT doc_id, {_DOC_TEXT} AS t FROM documents), n AS (SELECT *, length('How long?') + length('Document text:') + 2 + length(t) AS k FROM d)
-SELECT doc_id, t <> '' AND k % 5 <> 0 AS ok, CASE WHEN t <> '' AND k % 5 <> 0 THEN k END AS chars, CASE WHEN t = '' THEN '{model_call.NOTHING}' WHEN k % 5 = 0 THEN '{model_call.UNPARSABLE}' END AS error, FALSE AS used_vision FROM n""",
+SELECT doc_id, t <> '' AND k % 5 <> 0 AS ok, CASE WHEN t <> '' AND k % 5 <> 0 THEN k ELSE -1 END AS chars, CASE WHEN t = '' THEN '{model_call.NOTHING}' WHEN k % 5 = 0 THEN '{model_call.UNPARSABLE}' END AS error, FALSE AS used_vision FROM n""",
     "kind_report": f"WITH {_DEFAULT}, {_PICTURED_DEFAULT} SELECT kind, strategy, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM decided GROUP BY 1, 2",
     "kind_facts": f"""
 WITH k(kind) AS (VALUES {_values([(k,) for k in sorted(FAMILY_OF)])})
@@ -199,5 +199,5 @@ SELECT r_name, fmt, kind, n_tables, CASE fmt WHEN 'docx' THEN r_name || chr(10)
   CASE fmt WHEN 'xlsx' THEN r_name || ',Empty' END AS sheets FROM t, f""",
     "roundtrip_archives": f"""
 WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS raw, {_strip("coalesce(text, '')")} AS text FROM conversations)
-SELECT 'c' || conv_id || '.zip' AS root_id, role || '/turn' || turn || '.txt' AS origin, {_kind('raw')} AS kind, 1 AS depth, CASE WHEN {_kind('raw')} = 'text' THEN length(text) END AS n_chars, CASE WHEN {_kind('raw')} = 'text' THEN sha256(text) END AS text_sha256 FROM t""",
+SELECT 'c' || conv_id || '.zip' AS root_id, role || '/turn' || turn || '.txt' AS origin, {_kind('raw')} AS kind, 1 AS depth, CASE WHEN {_kind('raw')} = 'text' THEN length(text) ELSE -1 END AS n_chars, CASE WHEN {_kind('raw')} = 'text' THEN sha256(text) END AS text_sha256 FROM t""",
 }

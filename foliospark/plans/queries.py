@@ -93,7 +93,8 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     data = F.unhex(F.get(F.array(*headers), F.col("p_partkey").cast("int") % 7))
     sized = p.select("p_partkey", data.alias("data")).select("p_partkey", im.image_size(F.col("data")).alias("s"))
-    return sized.select("p_partkey", "s.width", "s.height", im.pixels(F.col("s.width"), F.col("s.height")).alias("pixels"))
+    known = lambda c: F.coalesce(c, F.lit(-1).cast("bigint"))
+    return sized.select("p_partkey", known(F.col("s.width")).alias("width"), known(F.col("s.height")).alias("height"), known(im.pixels(F.col("s.width"), F.col("s.height"))).alias("pixels"))
 
 
 @query
@@ -166,7 +167,7 @@ def image_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def image_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     flt = ImageFilter(max_images=3, drop_vector=True, keep_unsized=True)
-    return apply_filter(part_images(spark, sf_dir), flt).select("doc_id", F.col("pos").alias("p_partkey"), "status", "reason", F.col("rank").cast("bigint").alias("rank"))
+    return apply_filter(part_images(spark, sf_dir), flt).select("doc_id", F.col("pos").alias("p_partkey"), "status", "reason", F.coalesce(F.col("rank").cast("bigint"), F.lit(0)).alias("rank"))
 
 
 @query
@@ -333,7 +334,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, p = F.col("event_id") % 6, F.col("props")
     reply = F.when(k == 0, p).when(k == 1, F.concat(F.lit("```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(F.lit("Here you are: "), p, F.lit(" Bye."))).when(k == 3, F.concat(F.lit("["), p, F.lit(", 2]"))).when(k == 4, F.concat(F.lit("{no "), p)).otherwise("  ")
     e = _table(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
-    return e.withColumn("data", parse_reply("reply")).select("event_id", F.get_json_object("data", "$.k").cast("bigint").alias("k"), F.col("data").isNotNull().alias("parsed"))
+    return e.withColumn("data", parse_reply("reply")).select("event_id", F.coalesce(F.get_json_object("data", "$.k").cast("bigint"), F.lit(-1)).alias("k"), F.col("data").isNotNull().alias("parsed"))
 
 
 class EchoClient:
@@ -353,7 +354,7 @@ class EchoClient:
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_documents(_texts(spark, sf_dir, "documents"), "doc_id", "text")
     read = model_call.read(prepare_all(docs, render_fallback=False), prompt="How long?", client_factory=EchoClient)
-    return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ok", model_call.field(read, "chars").cast("bigint").alias("chars"), "error", "used_vision")
+    return read.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ok", F.coalesce(model_call.field(read, "chars").cast("bigint"), F.lit(-1)).alias("chars"), "error", "used_vision")
 
 
 @query
@@ -435,4 +436,4 @@ def roundtrip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = extract(files)
     text = views.body_text(F.col("blocks"))
     plain = F.when(F.col("kind") == "text", text)
-    return tree.leaves(docs).select("root_id", "origin", "kind", "depth", F.length(plain).alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"))
+    return tree.leaves(docs).select("root_id", "origin", "kind", "depth", F.coalesce(F.length(plain), F.lit(-1)).alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"))
