@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut, drop_cut, join_by_group
@@ -40,20 +40,28 @@ LONG_LIST = 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of a whole text, unsigned; 0 if it has no words."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a whole text's word shingles in order; one of all words if these are fewer; none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     n = len(words) - shingle + 1
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text, unsigned; 0 if it has no words."""
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     # Bit counts by byte histograms: each of the eight positional bytes adds its values' bits.
     positional = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
     counts = np.concatenate([np.bincount(positional[:, k], minlength=256) @ _BITS for k in range(8)])
@@ -148,6 +156,31 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def with_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text: rows that share it are one document."""
+    return docs.withColumn("_row", F.xxhash64(F.col(id_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the first by id (null last), then by row key.
+
+    ``groups`` has ``doc_id, row, group`` for every row of ``docs``, with the
+    row keys of ``with_row``. Of rows that repeat a key one stays.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    groups = cut(groups.groupBy("doc_id", "row").agg(F.min("group").alias("group"), F.count("*").alias("times")))
+    firsts = cut(groups.groupBy("group").agg(F.min(place)["row"].alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    gone = join_by_group(groups, firsts, "group", "n", groups.count()).filter("row <> first").select(F.col("row").alias("_gone"))
+    kept = with_row(docs, id_col, text_col).join(gone, F.col("_row") == F.col("_gone"), "left_anti")
+    again = groups.filter("times > 1").select(F.col("row").alias("_again"))
+    if again.head(1):
+        same = F.col("_row") == F.col("_again")
+        order = [F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+        nth = F.row_number().over(Window.partitionBy("_row").orderBy(*order))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
+    return kept.drop("_row")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one whose id names it.
 
