@@ -45,7 +45,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.features(flac.store(text_table(spark, sf_dir, "documents")))
+    return flac.features(flac.pcm_blocks(flac.store(text_table(spark, sf_dir, "documents"))))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary folder taken.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and everything runs in one process (tests) is a temporary folder taken.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="foliospark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -42,14 +49,39 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by ``cut`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/foliospark/" in folder.toString():
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that nothing reads any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            folder = name.rpartition("/")[0]
+            if "/foliospark/" in folder:
+                drop_folder(df.sparkSession, folder)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet: ``name``, or with more underscores before it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of a text or binary column, and ``rows`` rows, at most; a row alone may be larger."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right"))
+        n = max(1, min(upto - at, rows))
+        yield batch.slice(at, n)
+        at += n
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -59,21 +91,36 @@ def parallelism(spark: SparkSession) -> int:
 
 #: A key is hot if it has over this share of the rows, so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 512
+#: Bytes of hot keys' rows that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+#: Over how many salts a hot key's rows are dealt where its row is too large to be broadcast.
+SALTS = 64
 
 
-def join_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int, width: Column | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``groups`` (one row a key) where a key may have most rows.
 
     ``groups[count]`` is the key's number of rows and ``total`` their sum. Keys
     with over ``HOT_SHARE`` of all rows, 512 at most by that bound, are
     broadcast, so that their rows stay where they are; all others are
     shuffled, none of them larger than a small share of the whole.
+
+    Rows of ``groups`` are of some numbers each, so 512 of them are small;
+    where they hold more, ``width`` says their bytes, and hot ones of over
+    ``BROADCAST_BYTES`` in all are not broadcast: their rows are dealt over
+    ``SALTS`` salts, and the group's row goes to each of them.
     """
     least = max(1.0, total * HOT_SHARE)
-    hot = F.broadcast(groups.filter(F.col(count) > least))
+    hot = groups.filter(F.col(count) > least)
     cold = groups.filter(F.col(count) <= least)
-    near = rows.join(hot, key)
-    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    keys = F.broadcast(hot.select(key))
+    far = rows.join(keys, key, "left_anti").join(cold, key)
+    if width is not None and (hot.agg(F.sum(width)).head()[0] or 0) > BROADCAST_BYTES:
+        salt = free_name(rows, "_salt")
+        dealt = rows.join(keys, key, "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        near = dealt.join(hot.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, salt]).drop(salt)
+    else:
+        near = rows.join(F.broadcast(hot), key)
     return near.unionByName(far)
 
 

@@ -110,6 +110,26 @@ def test_streams_are_right_flac(linear):
     assert {0, 1} <= used and any(8 <= k <= 12 for k in used) and any(k >= 32 for k in used) == linear
 
 
+def test_frame_numbers_are_coded_as_the_format_says():
+    """The code is UTF-8's, carried on to 36 bits."""
+    for n in [*range(70_000), 0x10FFFF]:
+        assert flac._coded_number(n) == chr(n).encode("utf-8", "surrogatepass")
+    assert flac._coded_number((1 << 36) - 1) == b"\xfe" + b"\xbf" * 6 and flac._coded_number(1 << 31) == bytes([0xFE, 0x82, *[0x80] * 5])
+    heads = {flac.frame_header(n): n for n in range(127, 70_000)}
+    assert len(heads) == 70_000 - 127
+    assert all(flac.header_at(h + b"\0", 0).number == n for h, n in heads.items())
+
+
+@pytest.mark.parametrize("frames", [1, 127, 128, 129, 2100])
+def test_long_streams_are_right_flac(frames):
+    """Against the plain reader, beyond frame numbers of one and two bytes."""
+    r = random.Random(frames)
+    payload = b"".join(bytes([k % 256]) * 576 if k % 16 else r.randbytes(576) for k in range(frames))
+    stream = flac.encode_streams([payload])[0]
+    assert plain_reader(stream) == payload
+    assert flac.decode_streams([stream])[0].payload == payload == flac.decode_any(stream).payload
+
+
 def test_many_frames_and_seeking():
     payload = flac.padded(random.Random(1).randbytes(100) * 12000)
     stream = flac.encode_streams([payload])[0]
@@ -118,6 +138,68 @@ def test_many_frames_and_seeking():
     for sample, offset in read.seek_points:
         assert read.frame_starts[sample // 576] == offset
         assert stream[offset : offset + 2] == b"\xff\xf8"
+        assert flac.read_at([stream], [offset], [sample]) == [read.pcm[sample : sample + 576]]
+    with pytest.raises(flac.FlacError):
+        flac.read_at([stream], [read.frame_starts[3] + 1], [576 * 3])
+    with pytest.raises(flac.FlacError):
+        flac.read_at([stream], [read.frame_starts[3]], [576 * 4])
+
+
+def other_writer(channels, bits, block, samples, side=0, wasted=0, escape=False):
+    """A stream with frames of other kinds than ours: verbatim or escaped fixed subframes, as the format describes them."""
+    out, wide = [], -(-bits // 8)
+    for number, at in enumerate(range(0, len(samples), block)):
+        own = samples[at : at + block]
+        put = []
+        add = lambda v, n: put.extend((v & (1 << n) - 1) >> (n - 1 - i) & 1 for i in range(n))  # noqa: B023, E731
+        code = {8: 1, 16: 4}[bits]
+        add(0xFFF8, 16)
+        add(7, 4)
+        add(0, 4)
+        add(side or channels - 1, 4)
+        add(code, 3)
+        add(0, 1)
+        add(number, 8)
+        add(len(own) - 1, 16)
+        add(crc(np.packbits(put).tobytes(), 7, 8), 8)
+        parts = [[x[c] for x in own] for c in range(channels)]
+        if side == 8:
+            parts = [parts[0], [a - b for a, b in zip(*parts)]]
+        elif side == 9:
+            parts = [[a - b for a, b in zip(*parts)], parts[1]]
+        elif side == 10:
+            parts = [[(a + b) >> 1 for a, b in zip(*parts)], [a - b for a, b in zip(*parts)]]
+        for c, x in enumerate(parts):
+            width = bits + (side in (8, 10) and c == 1 or side == 9 and c == 0) - wasted
+            add((8 if escape else 1) << 1 | (wasted > 0), 8)
+            if wasted:
+                add(1, wasted)
+            if escape:
+                add(0, 2)
+                add(0, 4)
+                add(15, 4)
+                add(20, 5)
+            for v in x:
+                add(v >> wasted, 20 if escape else width)
+        put += [0] * (-len(put) % 8)
+        frame = np.packbits(put).tobytes()
+        out.append(frame + crc(frame, 0x8005, 16).to_bytes(2, "big"))
+    pcm = b"".join((v & (1 << 8 * wide) - 1).to_bytes(wide, "little") for x in samples for v in x)
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (44100 << 44 | (channels - 1) << 41 | (bits - 1) << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    return b"fLaC\x84\0\0\x02hi"[:4] + b"\x04\0\0\x02hi" + b"\x80" + len(info).to_bytes(3, "big") + info + b"".join(out), pcm
+
+
+@pytest.mark.parametrize(("channels", "bits", "block", "side", "wasted", "escape"), [(1, 8, 576, 0, 0, True), (2, 16, 4096, 0, 0, False), (2, 16, 100, 8, 0, False), (2, 16, 100, 9, 0, False), (2, 16, 100, 10, 0, True), (1, 16, 64, 0, 3, False), (1, 8, 576, 0, 2, False)])
+def test_streams_of_other_writers(channels, bits, block, side, wasted, escape):
+    r = random.Random(block + side)
+    top = 1 << (bits - 1)
+    samples = [[r.randrange(-top, top) >> wasted << wasted for _ in range(channels)] for _ in range(1152 if block == 576 else 1000)]
+    stream, pcm = other_writer(channels, bits, block, samples, side, wasted, escape)
+    s = flac.decode_streams([stream])[0]
+    assert s.pcm == pcm and s.firsts == list(range(0, len(samples), block))
+    assert flac.header_at(stream, s.frame_starts[-1]).number == len(s.firsts) - 1
+    with pytest.raises(flac.FlacError):
+        flac.decode_streams([stream[:-3]])
 
 
 def test_header_bytes_inside_a_frame():
@@ -164,18 +246,26 @@ def test_partitioned_residuals():
 def test_media_columns(spark):
     rows = some_docs()
     media = flac.store(clashing(frame(spark, rows)))
-    got = flac.features(media).collect()
+    got = flac.features(flac.pcm_blocks(clashing(media))).collect()
     want = sorted(((i, len((t or "").encode()), hashlib.sha256(p := flac.padded((t or "").encode())).hexdigest(), zlib.crc32(p[-32:])) for i, t, *_ in rows), key=str)
     assert sorted(((r["doc_id"], r["n_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got), key=str) == want
     by_payload = {}
     for r in got:
         assert by_payload.setdefault(r["payload_sha256"], (r["media_sha256"], r["feature"])) == (r["media_sha256"], r["feature"])
-    one = media.filter("doc_id = 21").limit(1)
-    data = one.first()["media"]
-    blocks = sorted(flac.pcm_blocks(one).collect(), key=lambda r: r["block"])
-    assert b"".join(bytes(b["pcm"]) for b in blocks) == bytes(x ^ 128 for x in plain_reader(bytes(data)))
-    assert all(bytes(data)[b["byte_offset"]] == 0xFF and b["sample_offset"] == 576 * b["block"] for b in blocks)
-    assert flac.features(flac.store(frame(spark, []))).collect() == []
+    one = flac.pcm_blocks(media.filter("doc_id = 21"), frames=2).first()
+    data = bytes(one["media"])
+    assert b"".join(bytes(b["pcm"]) for b in one["blocks"]) == bytes(x ^ 128 for x in plain_reader(data))
+    for k, b in enumerate(one["blocks"]):
+        assert b["sample_offset"] == 1152 * k and flac.read_at([data], [b["byte_offset"]], [b["sample_offset"]]) == [bytes(b["pcm"])[:576]]
+    none = spark.createDataFrame([(1, 2, None)], "doc_id bigint, n_bytes bigint, media binary")
+    assert flac.pcm_blocks(none).first()["blocks"] == [] and flac.features(flac.pcm_blocks(none)).collect() == []
+    assert flac.features(flac.pcm_blocks(flac.store(frame(spark, [])))).collect() == []
+
+
+def test_media_of_a_very_long_text(spark):
+    text = "line of some words and numbers 12345\n" * 90_000  # 3.3 MB
+    row = flac.features(flac.pcm_blocks(flac.store(frame(spark, [(1, text, None, None, None), (2, "x", None, None, None)])))).filter("doc_id = 1").first()
+    assert row["n_bytes"] == len(text) and row["payload_sha256"] == hashlib.sha256(flac.padded(text.encode())).hexdigest()
 
 
 # HTML
