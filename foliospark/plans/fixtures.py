@@ -114,9 +114,9 @@ def pptx(slides: list[tuple[list[str], bytes | None]], notes: dict[int, str] | N
     return zipped(parts)
 
 
-def odf(paragraphs: list[str], rows: list[list[str]] | None = None, image: bytes | None = None, kind: str = "text") -> bytes:
-    """``kind`` is text, spreadsheet or presentation."""
-    body = "".join(f"<text:p>{escape(t)}</text:p>" for t in paragraphs)
+def odf(paragraphs: list[str], rows: list[list[str]] | None = None, image: bytes | None = None, kind: str = "text", drawn: str = "", more: dict[str, bytes | str] | None = None) -> bytes:
+    """``kind`` is text, spreadsheet or presentation; ``drawn`` stands in the body as it is."""
+    body = "".join(f"<text:p>{escape(t)}</text:p>" for t in paragraphs) + drawn
     if rows:
         cell = lambda c: f"<table:table-cell><text:p>{escape(c)}</text:p></table:table-cell>"
         body += '<table:table table:name="T1">' + "".join("<table:table-row>" + "".join(map(cell, r)) + "</table:table-row>" for r in rows) + "</table:table>"
@@ -126,7 +126,7 @@ def odf(paragraphs: list[str], rows: list[list[str]] | None = None, image: bytes
         parts["Pictures/scan.png"] = image
     parts["content.xml"] = f"<office:document-content {_ODF}><office:body>{body}</office:body></office:document-content>"
     parts["meta.xml"] = f"<office:document-meta {_ODF}><office:meta><meta:initial-creator>Clerk</meta:initial-creator></office:meta></office:document-meta>"
-    return zipped(parts)
+    return zipped(parts | (more or {}))
 
 
 def rtf(lines: list[str], image: bytes | None = None) -> bytes:
@@ -137,10 +137,10 @@ def rtf(lines: list[str], image: bytes | None = None) -> bytes:
     return ("{\\rtf1\\ansi{\\fonttbl{\\f0 Times;}}{\\colortbl;}{\\*\\generator x;}{\\info{\\author A}}" + text + "\\par" + pict + "}").encode("ascii")
 
 
-def eml(subject: str, body: str, attachments: dict[str, bytes] | None = None) -> bytes:
+def eml(subject: str, body: str, attachments: dict[str, bytes] | None = None, subtype: str = "plain") -> bytes:
     m = EmailMessage()
     m["From"], m["To"], m["Subject"], m["Date"] = "a@example.org", "b@example.org", subject, "Tue, 12 Mar 2024 10:00:00 +0000"
-    m.set_content(body)
+    m.set_content(body, subtype=subtype)
     for name, data in (attachments or {}).items():
         m.add_attachment(data, maintype="application", subtype="octet-stream", filename=name)
     return m.as_bytes()

@@ -6,6 +6,7 @@ from a table's rows first (``fixtures``) and are then read back.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,9 +20,10 @@ from foliospark.functions import views
 from foliospark.functions.json import parse_reply
 from foliospark.operators import model_call, packages, payload, strategy, tree
 from foliospark.operators.filters import DEFAULT, KEEP_ALL, STRICT, ImageFilter, apply_filter
-from foliospark.operators.prepare import finish, judged, prepare, prepare_all
+from foliospark.operators.prepare import finish, judged, prepare, prepare_all, summary
 from foliospark.plans import report
 from foliospark.schema import FAMILY_OF, UNREADABLE
+from foliospark.sources import sinks
 from foliospark.sources.extract import document, extract, image_block, text_block, text_documents
 from foliospark.sources.tables import text_table
 
@@ -90,9 +92,10 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("424D" + "00" * 16), swap(w, 4), F.lpad(F.right(F.hex(-h.cast("bigint")), F.lit(8)), 8, "0").substr(7, 2), F.right(F.hex(-h.cast("bigint")), F.lit(8)).substr(5, 2), F.right(F.hex(-h.cast("bigint")), F.lit(8)).substr(3, 2), F.right(F.hex(-h.cast("bigint")), F.lit(8)).substr(1, 2)),
         F.concat(F.lit("524946460000000057454250565038580A000000" + "00000000"), swap(w - 1, 3), swap(h - 1, 3)), F.concat(F.lit("52494646000000005745425056503820" + "00" * 10), swap(w, 2), swap(h, 2)),
         F.concat(F.lit("5249464600000000574542505650384C" + "00" * 4 + "2F"), swap(((h - 1).cast("bigint") * 16384) + (w - 1), 4)),
+        F.concat(F.lit("FFD8FFE000044142FFFFC2001108"), big(h, 2), big(w, 2), F.lit("03" * 12)),
     ]
-    data = F.unhex(F.get(F.array(*headers), F.col("p_partkey").cast("int") % 7))
-    sized = p.select("p_partkey", data.alias("data")).select("p_partkey", im.image_size(F.col("data")).alias("s"))
+    data = F.unhex(F.get(F.array(*headers), F.col("p_partkey").cast("int") % 8))
+    sized = p.select("p_partkey", data.alias("data")).select("p_partkey", im.image_size(F.col("data"), jpeg=True).alias("s"))
     known = lambda c: F.coalesce(c, F.lit(-1).cast("bigint"))
     return sized.select("p_partkey", known(F.col("s.width")).alias("width"), known(F.col("s.height")).alias("height"), known(im.pixels(F.col("s.width"), F.col("s.height"))).alias("pixels"))
 
@@ -178,12 +181,12 @@ def filter_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pictured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of all kinds with the images of ``part``: the rows that judgement takes."""
+    """Whole documents, each of some kind, with the images of ``part``: the rows that judgement takes."""
     i = part_images(spark, sf_dir)
     block = image_block(F.col("pos"), F.col("ord"), F.col("mime"), F.col("name"), F.col("width"), F.col("height"), F.col("nbytes"), F.col("sha256"))
     sets = i.groupBy(F.col("doc_id").alias("g")).agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))).alias("s")).select("g", F.transform("s", lambda x: x["b"]).alias("images"))
     kinds = F.array(*[F.lit(k) for k in sorted(FAMILY_OF)])
-    d = _texts(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % len(FAMILY_OF)).cast("int")).alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 100)).when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("raw"), (F.col("doc_id") % 400).alias("g"))
+    d = _texts(spark, sf_dir, "documents").select("doc_id", F.get(kinds, (F.col("doc_id") % len(FAMILY_OF)).cast("int")).alias("kind"), F.col("text").alias("raw"), (F.col("doc_id") % 400).alias("g"))
     empty = F.array().cast(i.select(F.array(block).alias("b")).schema["b"].dataType)
     return d.join(sets, "g", "left").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("root_id"), F.col("doc_id").cast("string").alias("name"), "kind", F.lit(0).alias("n_children"), tx.stripped(F.coalesce("raw", F.lit(""))).alias("text"), F.coalesce("images", empty).alias("images"))
 
@@ -271,7 +274,7 @@ def capped_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sheet"), F.col("l_orderkey").alias("r"), "l_linenumber", "l_partkey", F.col("l_shipdate").cast("date").cast("string").alias("d"), F.when(F.col("l_quantity") > 25, F.col("l_returnflag")).otherwise("").alias("text"))
-    rows = packages.sheet_rows(cells, "sheet", ["r"], ["l_linenumber", "l_partkey", "d", "text"], max_rows=300, max_cols=3)
+    rows = packages.sheet_rows(cells, "sheet", ["r"], ["l_linenumber", "l_partkey", "d", "text"])
     return rows.select("sheet", F.col("row_no").cast("bigint").alias("row_no"), F.array_join("cells", " | ").alias("cells"))
 
 
@@ -437,3 +440,118 @@ def roundtrip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = views.body_text(F.col("blocks"))
     plain = F.when(F.col("kind") == "text", text)
     return tree.leaves(docs).select("root_id", "origin", "kind", "depth", F.coalesce(F.length(plain), F.lit(-1)).alias("n_chars"), F.sha2(plain, 256).alias("text_sha256"))
+
+
+def _image(width: int, height: int, tail: str) -> bytes:
+    """What a reader must see of a PNG, and bytes that tell it from others."""
+    return bytes.fromhex("89504E470D0A1A0A0000000D49484452") + width.to_bytes(4, "big") + height.to_bytes(4, "big") + tail.encode()
+
+
+def _illustrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each part, of seven formats in turn, with images in all the ways that formats have."""
+    from foliospark.plans import fixtures as fx
+
+    def write(r: pd.Series) -> bytes:
+        name, n, pic = r["p_name"], int(r["p_size"]), lambda k: _image(int(r["p_size"]) + k, 3, r["p_name"])
+        inline = '<draw:image xlink:href="x"><office:binary-data>' + base64.b64encode(pic(0)).decode() + '</office:binary-data></draw:image><draw:image xlink:href="./Pictures/none.png"/>'
+        ways = (
+            lambda: fx.docx(fx.para(name) + fx.blip("rId1") + fx.vml("rId2") + fx.blip("rId9"), {"a.png": pic(0), "b.png": pic(1)}, more={"word/media/lost.png": pic(2), "word/embeddings/o.bin": "x"}),
+            lambda: fx.xlsx({"S": [[name]]}, pic(0)), lambda: fx.odf([name], None, pic(0), more={"Pictures/lost.png": pic(1)}), lambda: fx.odf([name], drawn=inline), lambda: fx.rtf([name], pic(0)),
+            lambda: b"{\\rtf1{\\*\\generator x;}{\\info{\\author A}}" + name.encode() + b"{\\pict\\pngblip\\bin" + str(len(pic(0))).encode() + b" " + pic(0) + b"}}", lambda: fx.zipped({"word/document.xml": "<broken"}),
+        )
+        return ways[int(r["p_partkey"]) % len(ways)]()
+
+    return extract(_written(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), write, F.col("p_partkey").cast("string")))
+
+
+@query
+def package_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images by reference, inline, without a reference and lost, and what is said of them."""
+    said = F.transform(views.images(F.col("blocks")), lambda i: F.concat(i["name"], F.lit(" "), i["width"].cast("string"), F.lit("x"), i["height"].cast("string"), F.when(i["referenced"], "").otherwise(" loose")))
+    warned = F.transform("warnings", lambda w: F.substring(w, 1, 32))
+    return _illustrated(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("p_partkey"), "kind", views.body_text(F.col("blocks")).alias("text"), F.array_join(said, ", ").alias("images"), F.array_join(warned, "|").alias("warnings"))
+
+
+@query
+def saved_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every image as a file to write: its name and bytes."""
+    return sinks.document_images(_illustrated(spark, sf_dir)).select("path", F.sha2("data", 256).alias("data_sha256"))
+
+
+def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mail for each supplier: an HTML body, a note, a broken file and zips within zips."""
+    from foliospark.plans import fixtures as fx
+
+    def write(r: pd.Series) -> bytes:
+        deep = fx.zipped({"a.zip": fx.zipped({"b.zip": fx.zipped({"in.txt": r["s_name"]})}), "old.7z": b"7z\xbc\xaf\x27\x1c\0\0"})
+        return fx.eml(r["s_name"], f"<html><p>{r['s_name']}</p><style>p{{}}</style><p>number&nbsp;{r['s_suppkey']}</p>", {"x/note.txt": r["s_name"].encode(), "bad.docx": b"PK\x03\x04zz", "deep.zip": deep, "Thumbs.db": b"x"}, "html")
+
+    s = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return extract(_written(s, write, F.concat(F.col("s_suppkey").cast("string"), F.lit(".eml"))))
+
+
+@query
+def mail_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments and what they hold, down to the depth at which containers stay closed."""
+    return _mails(spark, sf_dir).select("doc_id", "root_id", F.coalesce("parent_id", F.lit("")).alias("parent_id"), "depth", "kind", "name", F.coalesce("origin", F.lit("")).alias("origin"), "n_children", views.body_text(F.col("blocks")).alias("text"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query
+def leaf_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the mails' trees in a line each; closed containers are left out."""
+    return summary(prepare_all(_mails(spark, sf_dir), render_fallback=False)).select("doc_id", "summary")
+
+
+@query
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the report says of every turn of a conversation."""
+    docs = _conversation_documents(spark, sf_dir)
+    return report.report(prepare_all(docs, render_fallback=False), docs).select("doc_id", "n", "line")
+
+
+@query
+def html_tables_and_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part with a table in a table, and images that are inline, remote, outside and missing."""
+    inner = F.concat(F.lit("<table><tr><th>"), "p_brand", F.lit("</th><td> "), F.col("p_size").cast("string"), F.lit(" </td></tr><tr><td></td></tr></table>"))
+    src = lambda x: F.concat(F.lit("<img src='"), x, F.lit("'>"))
+    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("p_name", "UTF-8")))
+    images = [src(x) for x in (uri, F.lit("data:,a%20b"), F.lit("https://e.org/x.png"), F.lit("../up.png"), F.concat(F.lit("p"), F.col("p_size").cast("string"), F.lit(".png?v=1")), uri)]
+    page = F.concat(F.lit("<html><table><tr><td>"), "p_name", F.lit("</td><td>b</td></tr><tr><td>"), inner, F.lit("</td></tr></table>"), *images)
+    docs = extract(_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("path"), F.encode(page, "UTF-8").alias("content")))
+    tables = F.array_join(F.transform("tables", lambda t: F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, ",")), ";")), "|")
+    named = F.array_join(F.transform(views.images(F.col("blocks")), lambda i: F.concat(i["name"], F.lit(":"), i["sha256"])), ",")
+    return docs.select(F.col("doc_id").cast("bigint").alias("p_partkey"), tables.alias("tables"), named.alias("images"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query
+def image_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image files are documents of one page."""
+    p = _table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), F.concat(F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452000000"), F.lpad(F.hex("p_size"), 2, "0"), F.lit("00000007"))), F.encode("p_name", "UTF-8")).alias("content"))
+    one = F.get("blocks", F.lit(0))
+    return extract(p).select("doc_id", "kind", F.size("blocks").alias("n"), one["page"].alias("page"), one["mime"].alias("mime"), one["width"].alias("width"), one["height"].alias("height"), one["name"].alias("name"), one["sha256"].alias("sha256"))
+
+
+@query
+def ole_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old Office files by the streams that they name, then by their suffix."""
+    streams = F.array(*[F.lit(x.encode("utf-16-le").hex()) for x in ("WordDocument", "Workbook", "Book", "PowerPoint Document", "__substg1.0", "nothing")])
+    suffixes = F.array(*[F.lit(x) for x in (".doc", ".XLS", ".ppt", ".msg", "", ".txt", ".bin")])
+    k = F.col("p_partkey").cast("int")
+    data = F.concat(F.unhex(F.lit("D0CF11E0A1B11AE1")), F.encode("p_name", "UTF-8"), F.unhex(F.get(streams, k % 6)))
+    files = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("file"), F.get(suffixes, k % 7)).alias("path"), data.alias("content"))
+    return dt.with_kind(files).select("p_partkey", "kind")
+
+
+@query
+def kinds_supported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dt.supported_kinds(spark)
+
+
+@query
+def file_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that cannot be read, a row each that says why."""
+    k = F.col("n_nationkey") % 3
+    path = F.concat("n_name", F.when(k == 0, ".msg").when(k == 1, ".docx").otherwise(".eml"))
+    data = F.when(k == 0, F.unhex(F.lit("D0CF11E0A1B11AE1" + "__substg1.0".encode("utf-16-le").hex()))).when(k == 1, F.unhex(F.lit("504B03047A7A"))).otherwise(F.unhex(F.lit("0001")))
+    docs = extract(_table(spark, sf_dir, "nation").select(path.alias("path"), data.alias("content")))
+    return docs.select("doc_id", "kind", F.size("blocks").alias("n_blocks"), F.col("error.type").alias("error"), F.col("error.message").alias("message"))
