@@ -213,7 +213,7 @@ SELECT 'c' || conv_id || '.zip' AS root_id, role || '/turn' || turn || '.txt' AS
 WITH p AS (SELECT *, p_partkey % 7 AS k, p_size || 'x3' AS a, (p_size + 1) || 'x3' AS b, (p_size + 2) || 'x3' AS c FROM part)
 SELECT p_partkey, ['docx', 'xlsx', 'odt', 'odt', 'rtf', 'rtf', 'docx'][k + 1] AS kind, CASE k WHEN 1 THEN '[S]' || chr(10) || p_name WHEN 6 THEN '' ELSE p_name END AS text,
   CASE k WHEN 0 THEN 'a.png ' || a || ', b.png ' || b || ', lost.png ' || c || ' loose' WHEN 1 THEN 'image1.png ' || a WHEN 2 THEN 'scan.png ' || a || ', lost.png ' || b || ' loose' WHEN 3 THEN 'inline-image ' || a WHEN 6 THEN '' ELSE 'pict1.png ' || a END AS images,
-  CASE k WHEN 0 THEN 'word/document.xml: relationship |1 media part(s) unreferenced by |contains OLE embeddings (word/em' WHEN 2 THEN '1 picture(s) unreferenced by cont' WHEN 3 THEN 'image target not inside package: ' WHEN 6 THEN 'word/document.xml: unparseable X' ELSE '' END AS warnings FROM p""",
+  CASE k WHEN 0 THEN 'word/document.xml: relationship |1 media part(s) unreferenced by |contains OLE embeddings (word/em' WHEN 2 THEN '1 picture(s) unreferenced by con' WHEN 3 THEN 'image target not inside package:' WHEN 6 THEN 'word/document.xml: unparseable X' ELSE '' END AS warnings FROM p""",
     "saved_images": """
 WITH p AS (SELECT *, p_partkey % 7 AS k FROM part), i AS (
   SELECT p_partkey, p_name, n, p_size + n AS w FROM p, range(3) t(n) WHERE k IN (0, 1, 2, 3, 4, 5) AND n < CASE k WHEN 0 THEN 3 WHEN 2 THEN 2 ELSE 1 END
