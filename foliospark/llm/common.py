@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the contracts spell it: [\x20\x09-\x0D].
@@ -46,9 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliospark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends: results are lazy, so what they read cannot go before."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,6 +79,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def one_of_each(df: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """Of the rows of each key the first in order; a key may have most rows.
+
+    Rows are numbered within their partition first, so no task holds more of
+    a key than one partition had, and then the partitions' firsts are.
+    """
+    part, nth = free_name(df, "_part"), free_name(df, "_nth")
+    first = lambda rows, *by: rows.withColumn(nth, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(nth) == 1).drop(nth)
+    return first(first(df.withColumn(part, F.spark_partition_id()), *keys, F.col(part)).drop(part), *keys)
+
+
+def whole_order(df: DataFrame) -> list[Column]:
+    """An order of rows by all columns that can be ordered."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if not any(x in kind for x in ("map<", "variant"))]
+
+
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of a text or binary column, and ``rows`` rows, at most; a row alone may be larger."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

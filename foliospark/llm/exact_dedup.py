@@ -29,7 +29,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import HOT_SHARE, cut, join_by_group, unbroken
+from foliospark.llm.common import HOT_SHARE, cut, free_name, join_by_group, one_of_each, unbroken, whole_order
 
 #: Ranks are decimals: code points * 2**65 + (2**63 - id), or + 0 for a null id.
 _STEP, _TOP = Decimal(1 << 65), Decimal(1 << 63)
@@ -90,29 +90,35 @@ def _unranked() -> list[Column]:
 def _one_winner(found: DataFrame) -> DataFrame:
     """Of rows that repeat the winner's id and text, one is kept.
 
-    Winners are numbered within (text, id): one row each but for repeated rows.
+    They are numbered in two steps, within their partition and then the
+    partitions' firsts, so that a row which repeats without end fills no task.
     """
     wins, repeats = F.col("_wins"), F.col("_wins") & (F.col("group_size") > 1)
-    nth = F.row_number().over(Window.partitionBy("text_sha256", "keep_id").orderBy("group_size"))
-    numbered = found.filter(repeats).withColumn("kept", nth == 1)
-    return found.filter(~repeats).withColumn("kept", wins).unionByName(numbered).drop("_wins")
+    same = ["text_sha256", "keep_id"]
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*same, *by).orderBy("group_size"))
+    local = found.filter(repeats).withColumn("_part", F.spark_partition_id()).withColumn("_nth", nth("_part")).drop("_part")
+    # Partitions' firsts meet by their own number, all others stay where they are.
+    numbered = local.withColumn("_turn", F.when(F.col("_nth") > 1, F.monotonically_increasing_id() + 1).otherwise(0))
+    again = numbered.withColumn("kept", (nth("_turn") == 1) & (F.col("_turn") == 0)).drop("_nth", "_turn")
+    return found.filter(~repeats).withColumn("kept", wins).unionByName(again).drop("_wins")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever these are called.
 
     The rows to drop are found by (id, digest) in an anti join, a key that the
-    rows of a group do not share. Rows that repeat their group's winner are
-    numbered, longest text first, and the first stays.
+    rows of a group do not share. Of rows that repeat their group's winner the
+    longest text stays, then the first by all columns.
     """
-    spent = cut(decisions(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again")).distinct())
-    marked = docs.withColumn("_sha", sha256_of(unbroken(text_col)))
-    same = (F.col("_sha") == F.col("_gone_sha")) & F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone"))
-    kept = marked.join(spent.filter("NOT _again"), same, "left_anti")
-    again = spent.filter("_again")
+    spent = cut(decisions(docs, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("gone"), F.col("text_sha256").alias("sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct())
+    key = free_name(docs, "_key")
+    # One column of the rows, and one of what is joined: a struct each, so no names can clash.
+    marked = docs.withColumn(key, F.struct(F.col(id_col).cast("bigint").alias("id"), sha256_of(unbroken(text_col)).alias("sha")))
+    keys = lambda rows: rows.select(F.struct(F.col("gone").alias("id"), F.col("sha")).alias(key + "_gone"))
+    same = (F.col(key)["sha"] == F.col(key + "_gone")["sha"]) & F.col(key)["id"].eqNullSafe(F.col(key + "_gone")["id"])
+    kept = marked.join(keys(spent.filter("NOT again")), same, "left_anti")
+    again = spent.filter("again")
     if again.head(1):
-        others = kept.join(again, same, "left_anti")
-        order = [F.char_length(F.col(text_col)).desc_nulls_last(), *(F.col(c) for c, kind in docs.dtypes if not kind.startswith(("map", "variant")))]
-        nth = F.row_number().over(Window.partitionBy("_sha", id_col).orderBy(*order))
-        kept = others.unionByName(kept.join(again, same, "left_semi").withColumn("_nth", nth).filter("_nth = 1").drop("_nth"))
-    return kept.drop("_sha")
+        order = [F.char_length(F.col(text_col)).desc_nulls_last(), *whole_order(docs)]
+        kept = kept.join(keys(again), same, "left_anti").unionByName(one_of_each(kept.join(keys(again), same, "left_semi"), [F.col(key)], order))
+    return kept.drop(key)

@@ -5,34 +5,38 @@ is the sequence of its IDs. Suffixes are sorted by prefix doubling: a suffix's
 rank for its first ``d`` lines and that of the suffix ``s`` lines further on
 (``s`` up to ``d``) give its rank for ``d + s`` lines. A rank is the number of
 smaller suffixes, so suffixes of one rank are the interval of the suffix
-array, from that index on, whose longest common prefix has ``d`` lines or more.
-Suffixes alone in their interval are finished and are not sorted again.
+array, from that index on, whose longest common prefix has ``d`` lines or
+more, or all lines of its suffixes where these are shorter. Doubling goes on
+until every suffix is placed: alone in its interval, or equal to all others in
+it to its end. Documents whose suffixes are all placed take no part in further
+rounds.
 
 Ranks come from the distinct keys only, counted with partial aggregation and
 dealt by range, so that neither a very common line nor a common line followed
 by many others fills one task.
 
-Run deletion needs the intervals of ``min_lines`` common lines, so doubling
-stops at that depth. Of each interval the first suffix in document order is
-the original and all others begin later copies; the copies that begin at
-neighbouring lines overlap to maximal repeated runs, which are deleted.
-``suffix_ranks`` with ``depth=None`` goes on until every suffix is placed.
+Of each interval with a common prefix of ``min_lines`` or more, the first
+suffix in document order is the original, and all others begin later copies
+of at least that prefix. A suffix remembers the longest prefix for which it
+was a later copy. Copies that overlap join to the maximal repeated runs, and
+these are deleted.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, drop_cut, join_by_group, parallelism
+from foliospark.llm.common import by_bytes, cut, drop_cut, join_by_group, parallelism
 
 MIN_LINES = 2
 #: Stands for a null id: the last document.
@@ -47,9 +51,8 @@ def _places(text: str | None) -> tuple[list[str], list[int]]:
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
+        for part in by_bytes(batch, 2):
             doc, row, pos, high, low = [], [], [], [], []
-            part = batch.slice(at, 512)
             for d, r, t in zip(*(c.to_pylist() for c in part.columns)):
                 lines, solid = _places(t)
                 digests = [xxhash.xxh3_128_digest(lines[i]) for i in solid]
@@ -86,62 +89,79 @@ def _numbered(keys: DataFrame, columns: list[str]) -> DataFrame:
     return local.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("offset")).drop("part", "before", "offset")
 
 
-def suffix_ranks(sequences: DataFrame, depth: int | None) -> DataFrame:
-    """``doc, row, pos, rank, size``: each suffix's interval for its first ``depth`` items, and how many share it.
+def suffix_ranks(sequences: DataFrame, depth: int | None = None, min_lines: int = 1) -> DataFrame:
+    """``doc, row, pos, rank, size, copied``: each suffix's interval, how many share it, and what it copies.
 
     ``sequences`` has ``doc, row, pos, high, low``: the items' IDs by place,
-    places without gaps. With ``depth`` None suffixes are told apart to their
-    ends; equal ones share a rank. A suffix that ends early stands before all
-    that go on.
+    places without gaps. Suffixes are told apart to their ends, or only for
+    their first ``depth`` items; equal ones share a rank. A suffix that ends
+    early stands before all that go on.
+
+    ``copied`` is the longest known prefix, of ``min_lines`` or more, with
+    which a suffix before in document order begins too; 0 without one. A
+    prefix is known up to the depth of a round or the suffix's end; what it
+    goes on with begins a copy of its own.
     """
     place = Window.partitionBy("doc", "row").orderBy("pos")
+    whole = Window.partitionBy("doc", "row")
+    at = F.struct("doc", "row", "pos")
+    first = F.min(at).alias("first")
     # Rows that repeat a document stand once; they meet by document, where suffixes are needed together too.
     items = cut(sequences.repartition("doc", "row").dropDuplicates(["doc", "row", "pos"]))
     total = items.count()
-    keys = _numbered(items.groupBy("high", "low").agg(F.count("*").alias("n")), ["high", "low"])
+
+    def copies(have: int, left: Column) -> Column:
+        """The common prefix if the suffix, with so many items left, is a later copy by it."""
+        common = F.least(F.lit(have), left)
+        return F.when((F.col("n") > 1) & (common >= min_lines) & (at != F.col("first")), common).otherwise(F.lit(0)).cast("int")
+
     keyed = lambda df, *c: df.withColumn("_k", F.xxhash64(*c))
-    ranked = join_by_group(keyed(items, "high", "low"), keyed(cut(keys), "high", "low").withColumnRenamed("high", "_h").withColumnRenamed("low", "_l"), "_k", "n", total)
-    state = cut(ranked.filter("high = _h AND low = _l").select("doc", "row", "pos", F.col("start").alias("rank"), F.col("n").alias("size"), (F.col("n") > 1).alias("open")))
-    drop_cut(items)
-    have = 1
+    keys = cut(_numbered(items.groupBy("high", "low").agg(F.count("*").alias("n"), first), ["high", "low"]))
+    ranked = join_by_group(keyed(items, "high", "low"), keyed(keys, "high", "low").withColumnRenamed("high", "_h").withColumnRenamed("low", "_l"), "_k", "n", total)
+    state = cut(ranked.filter("high = _h AND low = _l").select("doc", "row", "pos", F.col("start").alias("rank"), F.col("n").alias("size"), copies(1, F.lit(1)).alias("copied"), (F.col("n") > 1).alias("open")))
+    drop_cut(items, keys)
+    done, out, have = [], ["doc", "row", "pos", "rank", "size", "copied"], 1
+    goal = min_lines if depth is None else depth
     while (depth is None or have < depth) and state.filter("open").head(1):
-        step = have if depth is None else min(have, depth - have)
-        ahead = cut(state.withColumn("then", F.coalesce(F.lead("rank", step).over(place), F.lit(-1).cast("bigint"))))
+        step = min(have, goal - have) if have < goal else have
+        ahead = state.withColumns({"then": F.coalesce(F.lead("rank", step).over(place), F.lit(-1).cast("bigint")), "left": F.max("pos").over(whole) - F.col("pos") + 1, "busy": F.max("open").over(whole)})
+        ahead = cut(ahead)
+        done.append(ahead.filter("NOT busy").select(*out))
         live = ahead.filter("open")
-        split = cut(_numbered(live.groupBy("rank", "then").agg(F.count("*").alias("n")), ["rank", "then"]))
-        base = split.groupBy("rank").agg(F.min("start").alias("base"), F.count("*").alias("_rows"))
-        base = cut(base)
-        moved = join_by_group(split, base, "rank", "_rows", split.count()).select(F.col("rank").alias("_r"), F.col("then").alias("_t"), (F.col("rank") + F.col("start") - F.col("base")).alias("new"), F.col("n"), F.xxhash64("rank", "then").alias("_k"))
-        found = join_by_group(keyed(live, "rank", "then"), cut(moved), "_k", "n", live.count()).filter("rank = _r AND then = _t")
+        split = cut(_numbered(live.groupBy("rank", "then").agg(F.count("*").alias("n"), first), ["rank", "then"]))
+        base = cut(split.groupBy("rank").agg(F.min("start").alias("base"), F.count("*").alias("_rows")))
+        moved = join_by_group(split, base, "rank", "_rows", split.count()).select(F.col("rank").alias("_r"), F.col("then").alias("_t"), (F.col("rank") + F.col("start") - F.col("base")).alias("new"), "n", "first", F.xxhash64("rank", "then").alias("_k"))
+        moved = cut(moved)
+        found = join_by_group(keyed(live, "rank", "then"), moved, "_k", "n", live.count()).filter("rank = _r AND then = _t")
+        have += step
         # A suffix that ended here equals all of its interval to the end: nothing further tells them apart.
-        found = found.select("doc", "row", "pos", F.col("new").alias("rank"), F.col("n").alias("size"), ((F.col("n") > 1) & (F.col("then") >= 0)).alias("open"))
-        new = cut(ahead.filter("NOT open").select("doc", "row", "pos", "rank", "size", "open").unionByName(found))
-        drop_cut(state)
-        drop_cut(ahead)
-        state, have = new, have + step
-    return state.select("doc", "row", "pos", "rank", "size")
-
-
-def _kept(min_lines: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for t, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    lines, solid = _places(t)
-                    gone = np.zeros(len(solid) + 1, bool)
-                    for s in starts or ():
-                        gone[s : s + min_lines] = True
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    spent = {i for i, g in zip(solid, gone.tolist()) if g}
-                    text = "\n".join([x for i, x in enumerate(lines) if i not in spent]) if spent else t or ""
-                    out.append((len(solid), len(spent), len(edges) // 2, int(np.diff(edges)[::2].max(initial=0)), hashlib.sha256(text.encode()).hexdigest(), text))
-                columns = list(zip(*out))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "kept_sha256", "kept_text"])
-
-    return run
+        open_ = (F.col("n") > 1) & (F.col("then") >= 0)
+        found = found.select("doc", "row", "pos", F.col("new").alias("rank"), F.col("n").alias("size"), F.greatest("copied", copies(have, F.col("left"))).alias("copied"), open_.alias("open"))
+        new = cut(ahead.filter("busy AND NOT open").select(*out, "open").unionByName(found))
+        drop_cut(state, split, base, moved)
+        state = new
+    return reduce(DataFrame.unionByName, done, state.select(*out))
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the copies that begin in them -> what is left."""
+    for batch in batches:
+        for part in by_bytes(batch, 1):
+            out = []
+            for t, copies in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                lines, solid = _places(t)
+                turns = np.zeros(len(solid) + 1, np.int64)
+                for c in copies or ():
+                    turns[c["pos"]] += 1
+                    turns[min(c["pos"] + c["copied"], len(solid))] -= 1
+                gone = np.cumsum(turns) > 0
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], gone[: len(solid)].view(np.int8), [0]])))
+                spent = {i for i, g in zip(solid, gone.tolist()) if g}
+                text = "\n".join([x for i, x in enumerate(lines) if i not in spent]) if spent else t or ""
+                out.append((len(solid), len(spent), len(edges) // 2, int(np.diff(edges)[::2].max(initial=0)), hashlib.sha256(text.encode()).hexdigest(), text))
+            columns = list(zip(*out))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", "n_lines", "n_removed", "n_runs", "longest_run", "kept_sha256", "kept_text"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
@@ -160,11 +180,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
     lines = keyed.select("doc", "row", "text").mapInArrow(_lines, "doc bigint, row bigint, pos int, high bigint, low bigint")
-    ranks = suffix_ranks(lines, min_lines)
-    last = F.max("pos").over(Window.partitionBy("doc", "row"))
-    shared = cut(ranks.withColumn("_last", last).filter((F.col("size") > 1) & (F.col("pos") + min_lines - 1 <= F.col("_last"))).drop("_last"))
-    place = F.struct("doc", "row", "pos")
-    first = cut(shared.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")))
-    later = join_by_group(shared, first, "rank", "n", shared.count()).filter(place != F.col("first"))
-    starts = later.groupBy("doc", "row").agg(F.collect_set("pos").alias("starts"))
-    return keyed.join(starts, ["doc", "row"], "left").select("doc_id", "text", "starts").mapInArrow(_kept(min_lines), "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_sha256 string, kept_text string")
+    ranks = suffix_ranks(lines, min_lines=min_lines)
+    copies = cut(ranks.filter("copied > 0").groupBy("doc", "row").agg(F.collect_list(F.struct("pos", "copied")).alias("copies")))
+    return keyed.join(copies, ["doc", "row"], "left").select("doc_id", "text", "copies").mapInArrow(_kept, "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_sha256 string, kept_text string")

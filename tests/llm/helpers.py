@@ -50,3 +50,10 @@ def clashing(df):
 
     names = ["fp", "key", "row", "doc", "size", "_norm", "_digest", "_n", "rank", "kept", "keep_id", "component_id", "n", "score", "target", "_size", "_key", "host", "pos"]
     return df.select("*", *[F.lit(1).alias(c) for c in names])
+
+
+def awkward(df):
+    """The same rows with columns of the names that fits and dedups make, in any case."""
+    from pyspark.sql import functions as F
+
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in ("_sha", "_gone", "_nth", "_row", "_key", "_y", "y", "_id", "_PART", "_again", "_key_gone", "_turn")])

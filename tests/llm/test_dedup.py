@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
-from helpers import clashing, frame, some_docs
+from helpers import awkward, clashing, frame, some_docs
 from pyspark.sql import functions as F
 
 from foliospark.llm import exact_dedup, line_dedup, simhash, substring_dedup
@@ -64,10 +65,19 @@ def test_exact_dedup_empty(spark):
     assert exact_dedup.decisions(frame(spark, [])).collect() == []
 
 
+def test_exact_dedup_of_a_row_that_repeats_without_end(spark):
+    rows = [(7, "same text", "en", "a", 1)] * 500 + [(8, "same  text", "en", "a", 1)] * 3 + [(9, f"t {i}", "en", "a", 1) for i in range(40)]
+    df = frame(spark, rows, parts=6)
+    assert rows_of(exact_dedup.decisions(df), *EXACT) == brute_exact(rows)
+    kept = exact_dedup.exact_dedup(df).collect()
+    assert len(kept) == 41 and sum(r["text"] == "same  text" for r in kept) == 1
+
+
 def test_exact_dedup_keeps_whole_rows(spark):
     rows = some_docs()
-    kept = exact_dedup.exact_dedup(frame(spark, rows))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = awkward(frame(spark, rows))
+    kept = exact_dedup.exact_dedup(docs)
+    assert kept.columns == docs.columns
     want = sorted((r[0], r[4]) for r in brute_exact(rows) if r[3] and r[0] is not None)
     got = sorted((r["doc_id"], hashlib.sha256(re.sub(WHITE, "", r["text"] or "").encode()).hexdigest()) for r in kept.collect() if r["doc_id"] is not None)
     assert got == want
@@ -130,12 +140,21 @@ def test_links_of_planted_fingerprints(spark, long_list):
             f ^= sum(1 << b for b in r.sample(range(64), r.choice([1, 2, 2, 3])))
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), long_list)
+    edges, degree = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), long_list)
     linked = [(signed.index(e["a"]), signed.index(e["b"])) for e in edges.collect()]
     assert all((fps[a] ^ fps[b]).bit_count() <= 2 for a, b in linked)
-    want = components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2])
-    got = components(len(fps), linked)
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    want, got = components(len(fps), pairs), components(len(fps), linked)
     assert [[w == x for x in want] for w in want] == [[g == x for x in got] for g in got]
+    counts = Counter(i for pair in pairs for i in pair)
+    assert {signed.index(r["fp"]): r["n_links"] for r in degree.collect()} == dict(counts)
+
+
+def test_hits_tell_shared_positional_bytes():
+    """Every choice of shared positions meets in as many lists as the count filter takes for granted."""
+    for shared in (set(c) for n in range(9) for c in combinations(range(8), n)):
+        hits = sum(shared.issuperset(p) for p in simhash.PLANES)
+        assert (hits >= simhash.LEAST_HITS) == (len(shared) >= 8 - simhash.MAX_BITS)
 
 
 def test_components_of_a_long_chain(spark):
@@ -146,8 +165,16 @@ def test_components_of_a_long_chain(spark):
 def test_simhash_empty_and_dedup(spark):
     assert simhash.simhash_groups(frame(spark, [])).collect() == []
     rows = [r for r in some_docs() if r[0] is not None]
-    kept = {r["doc_id"] for r in simhash.simhash_dedup(frame(spark, rows)).collect()}
-    assert kept == {c for _, _, c in brute_groups(rows)}
+    docs = awkward(frame(spark, rows))
+    kept = simhash.simhash_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in brute_groups(rows)})
+
+
+def test_simhash_dedup_tells_rows_of_one_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, text(1), "en", "a", 1), (5, text(2), "en", "a", 1), (2, text(1), "en", "a", 1), (9, text(3), "en", "a", 1), (9, text(3), "en", "a", 1), (None, text(3), "en", "a", 1), (None, text(4), "en", "a", 1)]
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.simhash_dedup(frame(spark, rows)).collect()), key=str) == sorted([(2, text(1)), (5, text(2)), (9, text(3)), (None, text(4))], key=str)
 
 
 # substring dedup
@@ -258,8 +285,14 @@ def test_suffix_ranks_sort_all_suffixes(spark):
     items = [(d, 0, p, x, 0) for d, own in enumerate(docs) for p, x in enumerate(own)]
     frame_ = spark.createDataFrame(items, "doc bigint, row bigint, pos int, high bigint, low bigint").repartition(4)
     suffixes = {(d, p): own[p:] for d, own in enumerate(docs) for p in range(len(own))}
-    got = {(x["doc"], x["pos"]): (x["rank"], x["size"]) for x in line_dedup.suffix_ranks(frame_, None).collect()}
+    rows = line_dedup.suffix_ranks(frame_).collect()
+    got = {(x["doc"], x["pos"]): (x["rank"], x["size"]) for x in rows}
     assert got == {k: (sum(o < s for o in suffixes.values()), sum(o == s for o in suffixes.values())) for k, s in suffixes.items()}
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    for x in rows:  # the longest prefix that stands before, up to the depth of a round
+        k = (x["doc"], x["pos"])
+        best = max((common(s, suffixes[k]) for o, s in suffixes.items() if o < k), default=0)
+        assert x["copied"] <= best and (x["copied"] > best / 2 or best == 0)
     for depth in (1, 2, 3, 5):
         own = {(x["doc"], x["pos"]): x["size"] for x in line_dedup.suffix_ranks(frame_, depth).collect()}
         assert own == {k: sum(o[:depth] == s[:depth] for o in suffixes.values()) for k, s in suffixes.items()}
