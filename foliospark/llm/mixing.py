@@ -2,8 +2,9 @@
 
 A source's words are dealt in equal blocks. The mix's blocks go to the sources
 by highest quotients of their targets, and a source's blocks beyond its whole
-passes go to its shards by highest quotients of their sizes; both give whole
-quotas that add up exactly. A shard holds documents by a hash of id and text,
+passes go to its shards by highest quotients of their sizes, first to bundles
+of ``BUNDLE`` shards and then within each; all give whole quotas that add up
+exactly. A shard holds documents by a hash of id and text,
 about ``SHARD_WORDS`` words or ``SHARD_ROWS`` rows of one source, so a source
 with most of the corpus has many shards. Within a shard the documents stand in
 seeded order as one line of words, which is cut into blocks, and the quota of
@@ -34,6 +35,8 @@ MOST = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 1_000_000
 SHARD_ROWS = 20_000
+#: Shards of a source that are apportioned together.
+BUNDLE = 1000
 SEED = 20240607
 
 
@@ -111,12 +114,13 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     return rows.sparkSession.createDataFrame(table, "_src string, _source_size bigint, _target double, _passes bigint, _rest bigint, _shards bigint, _rows bigint")
 
 
-def _quotas(block: int):
-    def run(shards: pd.DataFrame) -> pd.DataFrame:
-        shards = shards.sort_values("_shard", ignore_index=True)
-        sizes = shards["_words"].to_numpy(np.int64)
-        shards["_quota"] = sainte_lague(sizes, int(shards["_rest"].iloc[0]), -(-sizes // block))
-        return shards[["_src", "_shard", "_quota"]]
+def _quotas(part: str, seats: str, out: str):
+    """Apportions the blocks ``seats`` of a source or bundle to its parts by their words, at most ``_most`` each."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(part, ignore_index=True)
+        parts[out] = sainte_lague(parts["_words"].to_numpy(np.int64), int(parts[seats].iloc[0]), parts["_most"].to_numpy(np.int64))
+        return parts[["_src", part, out]]
 
     return run
 
@@ -171,8 +175,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, carr
     total = small.count()
     shard = lambda rows: join_by_group(rows, plan, "_src", "_rows", total).withColumn("_shard", F.pmod(F.xxhash64("_key"), F.col("_shards")))
     dealt = shard(small)
-    words = dealt.groupBy("_src", "_shard").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest"))
-    quotas = words.groupBy("_src").applyInPandas(_quotas(block), "_src string, _shard bigint, _quota bigint")
+    words = cut(dealt.groupBy("_src", "_shard").agg(F.sum("_size").alias("_words"), F.first("_rest").alias("_rest")).withColumns({"_most": F.ceil(F.col("_words") / block), "_bundle": F.floor(F.col("_shard") / BUNDLE)}))
+    bundles = words.groupBy("_src", "_bundle").agg(F.sum("_words").alias("_words"), F.sum("_most").alias("_most"), F.first("_rest").alias("_rest"))
+    given = bundles.groupBy("_src").applyInPandas(_quotas("_bundle", "_rest", "_given"), "_src string, _bundle bigint, _given bigint")
+    quotas = words.join(given, ["_src", "_bundle"]).groupBy("_src", "_bundle").applyInPandas(_quotas("_shard", "_given", "_quota"), "_src string, _shard bigint, _quota bigint")
     return (shard(sized) if carried else dealt), quotas
 
 
@@ -193,10 +199,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of ``docs``.
+    """The mix itself, with the columns of ``docs``, whatever these are called.
 
     A document stands there once for each whole pass, and once more with the
     words of its drawn blocks, joined by spaces, if it has any.
+
+    Defined results: as ``mix`` decides, so documents without words stand
+    there as often as their source has whole passes; an empty table gives an
+    empty result.
     """
     dealt, quotas = _prepared(docs, id_col, text_col, source_col, docs.columns, weights, share, most, block)
     columns = [f"_c{i}" for i in range(len(docs.columns))]

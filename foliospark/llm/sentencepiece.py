@@ -23,6 +23,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import by_bytes
+
 MARK = "▁"
 TABLE_CHUNKS = 400_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -90,8 +92,7 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", id_col: s
         known = ChunkTable(load(model))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in by_bytes(batch, 1, 4 << 20, 256):
                 rows = known.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sha(i) for _, i, _ in rows], pa.string()), pa.array([sha(d) for *_, d in rows], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]

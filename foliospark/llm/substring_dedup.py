@@ -16,9 +16,14 @@ reaches its bucket once a worker's block, not once a document.
 Word runs that many documents hold make poor minimisers: at the edges of a
 passage that many documents share, every document's own words would follow it
 into one bucket. So runs that a sample of documents shows to be frequent, and
-runs of one repeated word, are minimisers only where a window has no other. Of
-windows that have no other, many are equal and combined. This decides where
-windows are compared and never which are equal.
+runs of one repeated word, are minimisers only where a window has no other.
+Such windows are parted by a second key, the least of their runs by another
+hash, so that a minimiser which many different windows share fills no bucket.
+Equal windows have equal keys of both kinds: all this decides where windows
+are compared and never which are equal.
+
+The number of buckets follows the bytes of the texts, so that the strings of
+one, which a worker holds at once, do not grow with the corpus.
 
 The strings of one block and bucket are packed and compressed together. Which
 words to remove goes back as ranges, joined to the documents by a key of id
@@ -34,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut, parallelism
@@ -47,6 +52,8 @@ BLOCK_BYTES = 4 << 20
 POPULAR = 10_000
 #: Words of a bucket that are sorted at once; minimisers part the bucket.
 SORTED_WORDS = 200_000
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 16 << 20
 #: One in so many documents is sampled for frequent runs; a run is frequent in this share of them.
 SAMPLED = 32
 FREQUENT = 0.0005
@@ -146,11 +153,13 @@ def _sampled_runs(minimiser: int):
     return run
 
 
-def frequent_runs(docs: DataFrame, id_col: str, text_col: str, minimiser: int) -> np.ndarray:
-    """Order values of runs that many of the sampled documents hold."""
-    picked = docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(SAMPLED)) == 0).select(F.col(text_col).cast("string"))
-    counts = picked.mapInArrow(_sampled_runs(minimiser), "run bigint").groupBy("run").agg(F.count("*").alias("n"))
-    n = docs.filter(F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(SAMPLED)) == 0).count()
+def _sampled(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(SAMPLED)) == 0
+
+
+def frequent_runs(docs: DataFrame, id_col: str, text_col: str, minimiser: int, n: int) -> np.ndarray:
+    """Order values of runs that many of the ``n`` sampled documents hold."""
+    counts = docs.filter(_sampled(id_col)).select(F.col(text_col).cast("string")).mapInArrow(_sampled_runs(minimiser), "run bigint").groupBy("run").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") >= max(3.0, FREQUENT * n)).orderBy(F.desc("n"), "run").limit(FREQUENT_RUNS)
     return np.array([r["run"] for r in often.select("run").collect()], np.uint64)
 
@@ -162,7 +171,12 @@ def super_kmers(lengths: np.ndarray, words: Words, window: int, order: Order) ->
     starts = np.repeat(first, counts) + _spans(counts)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    least = _least(order.values(words), window - order.minimiser + 1)[starts]
+    values = order.values(words)
+    least = _least(values, window - order.minimiser + 1)[starts]
+    late = least >> np.uint64(63) > 0
+    if late.any():  # no choice but a frequent run: a second key parts what would meet there
+        second = _least(_mixed(values * np.uint64(_BASE) | np.uint64(1)), window - order.minimiser + 1)[starts]
+        least = np.where(late, _mixed(least ^ second) | np.uint64(1 << 63), least)
     doc = np.repeat(np.arange(len(lengths)), counts)
     new = np.ones(len(starts), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
@@ -372,8 +386,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row a document: ``doc_id, n_words, n_removed, kept_sha256, kept_text``.
 
     Removed is each word covered by a window whose words also start in a
-    document with a smaller id. ``buckets`` is the session's number of
-    shuffle partitions unless given; a worker holds one bucket's strings.
+    document with a smaller id. ``buckets`` is one for each ``BUCKET_BYTES``
+    of text unless given; a worker holds one bucket's strings.
 
     Defined results: null and empty texts have no words; texts shorter than a
     window keep all; a null id counts as larger than any other and null ids do
@@ -382,14 +396,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 1 <= minimiser <= window:
         raise ValueError("a minimiser has between one word and a window's")
-    spark = docs.sparkSession
-    parts = parallelism(spark)
-    buckets = buckets or parts
+    facts = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("size"), F.count_if(_sampled(id_col)).alias("sampled")).head()
+    buckets = buckets or max(parallelism(docs.sparkSession), -(-(facts["size"] or 0) // BUCKET_BYTES))
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    blobs = keyed.mapInArrow(_sender(buckets, window, Order(frequent_runs(docs, id_col, text_col, minimiser), minimiser)), _BLOB)
-    dealt = blobs.repartitionById(min(parts, buckets), F.pmod("bucket", F.lit(min(parts, buckets)))).sortWithinPartitions("bucket")
-    ranges = cut(dealt.mapInArrow(_receiver(window), _RANGE))
-    each = ranges.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    order = Order(frequent_runs(docs, id_col, text_col, minimiser, facts["sampled"]), minimiser)
+    blobs = keyed.mapInArrow(_sender(buckets, window, order), _BLOB)
+    ranges = cut(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_receiver(window), _RANGE))
+    # Rows that repeat an id and a text found the same ranges.
+    each = ranges.distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     marked = own.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("doc_id", "text")).join(each, ["doc", "row"], "left")
     return marked.select("doc_id", "text", "ranges").mapInArrow(_trimmed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

@@ -14,7 +14,8 @@ fitted on sampled documents that the chain was not trained on, turns a
 document's marginals into its score.
 
 Training takes ``TRAIN_TOXIC`` and ``TRAIN_CLEAN`` labelled rows at most, those
-whose hashed ids are smallest; the bounds are parameters.
+whose hashed ids are smallest, and ``TRAIN_BYTES`` of text; the bounds are
+parameters.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import by_bytes
+
 TRAIN_TOXIC = 1200
 TRAIN_CLEAN = 1800
+#: Bytes of the texts that are learned from, half of them for each kind.
+TRAIN_BYTES = 64 << 20
 FOLDS = 5
 BITS = 18
 SEGMENT = 256
@@ -311,22 +316,29 @@ def spans(text: str, p: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id", columns: tuple[str, ...] = ("text",)) -> list:
-    """Labelled rows outside the held-out part, at most ``most[y]`` labelled y: those of smallest hashed ids.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], id_col: str = "doc_id", columns: tuple[str, ...] = ("text",), most_bytes: int = TRAIN_BYTES) -> list[dict]:
+    """Labelled rows outside the held-out part: ``id``, ``y`` and the columns, by id.
 
-    Their number bounds what is broadcast and what the driver gets.
+    They are at most ``most[y]`` labelled y, those of smallest hashed ids, and
+    of each kind the first whose texts have ``most_bytes / 2`` in all. These
+    numbers bound what is broadcast and what the driver gets. Of rows that
+    repeat an id the least by their columns is taken; an id with labels of
+    both kinds has the larger.
     """
-    one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("_y"))
-    by_class = [one.filter(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
-    picked = by_class[0].unionByName(by_class[1]).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(F.col("_id"), F.col("_y").cast("int").alias("_y"), *columns)
-    return sorted(rows.dropDuplicates(["_id"]).collect(), key=lambda r: r["_id"])
+    one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("bigint").alias("i")).agg(F.max(label).cast("int").alias("y"))
+    by_class = [one.filter(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(most[y]) for y in (0, 1)]
+    picked = by_class[0].unionByName(by_class[1])
+    own = docs.select(F.col(id_col).cast("bigint").alias("i"), F.struct(*[F.col(c).alias(c) for c in columns]).alias("r"))
+    rows = own.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("r").alias("r"))
+    size = F.sum(F.coalesce(F.octet_length(F.col("r")[columns[0]]), F.lit(0))).over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
+    kept = rows.withColumn("size", size).filter(F.col("size") <= most_bytes // 2).select("i", "y", "r").collect()
+    return [{"id": r["i"], "y": r["y"], **r["r"].asDict()} for r in sorted(kept, key=lambda r: r["i"])]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> Chain | float:
     """A trained chain, or where labels of either kind are missing the constant score."""
     rows = sample(docs, labels, "toxic", most)
-    y = [r["_y"] for r in rows]
+    y = [r["y"] for r in rows]
     if len(set(y)) < 2:
         return float(bool(y and y[0]))
     return train([r["text"] or "" for r in rows], y)
@@ -346,8 +358,7 @@ def score(docs: DataFrame, model: Chain | float, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = None if isinstance(model, float) else Lexicon(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in by_bytes(batch, 2):
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 if isinstance(model, float):
                     scores, found = [model] * len(texts), [[] for _ in texts]
