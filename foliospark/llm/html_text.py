@@ -1,16 +1,21 @@
 """HTML extraction by removal of site templates.
 
 Every page is parsed to a tree and every element's subtree is hashed: its tag,
-its own text and its children's hashes. In Spark the subtrees are counted by
-host over pages with different contents, and a subtree that stands in at least
-``MIN_PAGES`` of them and in ``SHARE`` of the host's is part of the site's
-template. By that share a host has a bounded number of template subtrees,
-whatever its size: an average page's subtrees / ``SHARE``.
-
-In a second pass a page loses its host's template subtrees, the elements that
-by their kind, role or class are menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments, and everything outside its
-article or main element, if it has one. What is left is the text.
+its own text and its children's hashes; attributes and numbers, which vary
+from page to page, are left out. Subtrees that hold links and nothing else,
+menus, are hashed a second time as frames, without the links' texts and with
+equal neighbours as one, so that a menu recurs though its entries differ. In
+Spark the subtrees are counted by host over pages with different contents, and
+a subtree or frame that stands in at least ``MIN_PAGES`` of them and in
+``SHARE`` of the host's (``LARGE_SHARE`` of a host with over ``LARGE`` pages) is
+part of the site's template. By these shares a host has a bounded number of
+template subtrees, whatever its size: an average page's subtrees over the share.
+
+In a second pass a page loses its host's template first: subtrees wherever
+they stand, frames outside its article. Of what is left the article elements
+are taken, or else the main ones, or else all; and what never recurs goes by
+its kind or role, or as a last resort by words of its class: menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments.
 """
 
 from __future__ import annotations
@@ -24,10 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, join_by_group
+from foliospark.llm.common import by_bytes, cut, join_by_group
 
 MIN_PAGES = 5
 SHARE = 0.3
+LARGE = 1000
+LARGE_SHARE = 0.1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -53,10 +60,10 @@ _WORDS = frozenset(
 
 
 class Node:
-    __slots__ = ("attributes", "children", "gone", "hash", "holds", "tag")
+    __slots__ = ("attributes", "children", "frame", "gone", "hash", "holds", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children, self.gone, self.hash = tag, attributes, [], False, 0
+        self.tag, self.attributes, self.children, self.gone, self.hash, self.frame = tag, attributes, [], False, 0, 0
         self.holds = False  # an article or main element, so no class makes it a sidebar
 
 
@@ -131,39 +138,80 @@ def _classed(node: Node, inside: bool) -> bool:
     return False
 
 
+#: Elements that are no menu even if they hold links only.
+_NO_FRAME = frozenset("#page html head body article main p h1 h2 h3 h4 h5 h6 blockquote pre table".split())
+_WORDLESS = re.compile(r"[\W_]*")
+_NUMBER = re.compile(r"\d+")
+
+
+def _signed(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
+_LINK = _signed("a link")
+
+
+def _frame(node: Node) -> int:
+    """The frame of a subtree that holds links and no other words, with equal neighbours as one; 0 for any other."""
+    if node.tag == "a":
+        return _LINK
+    if node.tag in _NO_FRAME:
+        return 0
+    parts: list[int] = []
+    for c in node.children:
+        if isinstance(c, Node):
+            if not c.frame:
+                return 0
+            if parts[-1:] != [c.frame]:
+                parts.append(c.frame)
+        elif not _WORDLESS.fullmatch(c):
+            return 0
+    return _signed(f"{node.tag}\x1c{parts}")
+
+
 def hashes(root: Node) -> list[int]:
-    """Signed 64-bit hashes of all subtrees that are no mere inline markup, set in the nodes too."""
+    """Signed 64-bit hashes of all subtrees that are no mere inline markup, and of menus' frames; set in the nodes too."""
     out: list[int] = []
-    stack: list[tuple[Node, bool]] = [(root, False)]
+    stack: list[tuple[Node, int]] = [(root, 0)]
+    links: list[int] = []  # how many links were closed before an element was opened
+    closed = 0
     while stack:
-        node, done = stack.pop()
-        if not done:
-            stack.append((node, True))
-            stack += [(c, False) for c in node.children if isinstance(c, Node)]
+        node, state = stack.pop()
+        if state == 0:
+            stack.append((node, 1))
+            links.append(closed)
+            stack += [(c, 0) for c in node.children if isinstance(c, Node)]
             continue
-        body = "\x1f".join([f"\x1e{c.hash}" if isinstance(c, Node) else " ".join(c.split()) for c in node.children])
-        h = xxhash.xxh64_intdigest(f"{node.tag}\x1d{body}")
-        node.hash = h - (1 << 64) if h >> 63 else h
+        held = closed - links.pop()
+        closed += node.tag == "a"
+        body = "\x1f".join([f"\x1e{c.hash}" if isinstance(c, Node) else _NUMBER.sub("0", " ".join(c.split())) for c in node.children])
+        node.hash, node.frame = _signed(f"{node.tag}\x1d{body}"), _frame(node)
         if node.tag not in _INLINE and node is not root and body.strip("\x1f "):
             out.append(node.hash)
+            if node.frame and held > 1:
+                out.append(node.frame)
     return out
 
 
-def _mark(root: Node, template: frozenset[int]) -> list[Node]:
-    """Mark what goes; the article elements that stay (or main elements), in page order."""
+def _mark(root: Node, template: frozenset[int], rules: bool = True) -> list[Node]:
+    """Mark what goes; the article elements that stay (or main elements), in page order.
+
+    Without ``rules`` only the template goes.
+    """
     articles, mains = [], []
-    stack = [(root, False)]
+    stack = [(root, False, False)]
     while stack:
-        node, inside = stack.pop()
-        node.gone = _classed(node, inside) or node.hash in template and node.tag not in ("#page", "html", "body")
+        node, inside, within = stack.pop()
+        node.gone = node.tag not in ("#page", "html", "body") and (node.hash in template or not inside and not node.holds and node.frame in template) or rules and _classed(node, inside)
         if node.gone:
             continue
         if node.tag == "article" and not inside:
             articles.append(node)
-        elif node.tag == "main":
+        elif node.tag == "main" and not within:
             mains.append(node)
-        stack += [(c, inside or node.tag == "article") for c in reversed(node.children) if isinstance(c, Node)]
-    return articles or mains[:1]
+        stack += [(c, inside or node.tag == "article", within or node.tag == "main") for c in reversed(node.children) if isinstance(c, Node)]
+    return (articles or mains) if rules else []
 
 
 def _blocks(node: Node) -> Iterator[str]:
@@ -184,24 +232,36 @@ def _blocks(node: Node) -> Iterator[str]:
             stack += reversed(x.children)
 
 
-def main_text(page: str | None, template: frozenset[int] = frozenset()) -> str:
-    """The main text of a page: its blocks in order, joined by one space."""
+def main_text(page: str | None, template: frozenset[int] = frozenset(), rules: bool = True) -> str:
+    """The main text of a page: its blocks in order, joined by one space. Without ``rules`` only the template and what shows nothing go."""
     root = parse(page or "")
     if template:
         hashes(root)
-    roots = _mark(root, template) or [root]
+    roots = _mark(root, template, rules) or [root]
+    if not rules:
+        for node in _nodes(root):
+            node.gone |= node.tag in _UNSEEN
     blocks = "\x1f".join("".join(_blocks(r)) for r in roots).split("\x1f")
     return " ".join(" ".join(b.split()) for b in blocks if b.strip())
 
 
+def _nodes(root: Node) -> Iterator[Node]:
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        stack += [c for c in node.children if isinstance(c, Node)]
+
+
 _HASHED = "host string, content bigint, hashes array<bigint>"
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sorted(set(hashes(parse(p.as_py() or "")))) for p in batch.column(1)]
-        content = [xxhash.xxh64_intdigest(",".join(map(str, f))) for f in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c - (1 << 64) if c >> 63 else c for c in content], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "content", "hashes"])
+        for part in by_bytes(batch, 1):
+            found = [sorted(set(hashes(parse(p.as_py() or "")))) for p in part.column(1)]
+            content = [_signed(",".join(map(str, f))) for f in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["host", "content", "hashes"])
 
 
 def templates(pages: DataFrame, host: str = "_host", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -215,7 +275,8 @@ def templates(pages: DataFrame, host: str = "_host", min_pages: int = MIN_PAGES,
     unique = cut(unique)
     sizes = unique.groupBy("host").agg(F.count("*").alias("different"), F.sum("n").alias("_pages"))
     counts = unique.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("times")).filter(F.col("times") >= min_pages)
-    often = counts.join(sizes, "host").filter(F.col("times") >= share * F.col("different"))
+    needed = F.when(F.col("different") > LARGE, F.greatest(F.lit(share * LARGE), F.lit(min(share, LARGE_SHARE)) * F.col("different"))).otherwise(share * F.col("different"))
+    often = counts.join(sizes, "host").filter(F.col("times") >= needed)
     sets = often.groupBy("host").agg(F.collect_list("h").alias("_template"))
     return sizes.join(sets, "host", "left").select(F.col("host").alias("_host"), F.col("_pages"), F.coalesce("_template", F.array().cast("array<bigint>")).alias("_template"))
 
@@ -234,15 +295,26 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
     own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), F.when(host != "", host).alias("_host"))
     sites = cut(templates(own, "_host", min_pages, share))
     total = max(1, sites.agg(F.coalesce(F.sum("_pages"), F.lit(0))).head()[0])
-    joined = join_by_group(own.filter("_host IS NOT NULL"), sites, "_host", "_pages", total)
+    joined = join_by_group(own.filter("_host IS NOT NULL"), sites, "_host", "_pages", total, 8 * F.size("_template"))
     rest = own.filter("_host IS NULL").withColumn("_template", F.array().cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset[int]] = {}  # the hosts met last
+
+        def template(host: str | None, hashes_: pa.ListScalar) -> frozenset[int]:
+            if host is None:
+                return frozenset()
+            if host not in known:
+                if len(known) >= 256:
+                    known.clear()
+                known[host] = frozenset(hashes_.as_py() or ())
+            return known[host]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [main_text(p.as_py(), frozenset(t.as_py() or ())) for p, t in zip(part.column(2), part.column(3))]
+            for part in by_bytes(batch, 2):
+                hosts = part.column(4).to_pylist()
+                texts = [main_text(p.as_py(), template(h, t)) for p, t, h in zip(part.column(2), part.column(3), hosts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    columns = ["page_id", "url", "html", "_template"]
+    columns = ["page_id", "url", "html", "_template", "_host"]
     return joined.select(*columns).unionByName(rest.select(*columns)).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

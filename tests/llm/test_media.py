@@ -288,6 +288,35 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_menus_recur_by_their_frames(spark):
+    """Menus whose entries differ on every page, on pages without an article, with class words that tell nothing."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for i in range(40):
+        menu = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(r.randint(3, 7)))
+        trail = " / ".join(f"<a href='#'>{word()}</a>" for _ in range(r.randint(2, 4)))
+        body = [" ".join(word() for _ in range(9)) for _ in range(3)]
+        article = f"<h1><a href='x'>{body[0]}</a></h1><p>{body[1]}</p><p><a href='y'>{body[2]}</a></p>"
+        kind = i % 3
+        page = f"<div class=c1><ul>{menu}</ul></div><div class=c2>{trail}</div>" + (article, f"<article>{article}<ul>{menu}</ul></article>", f"<main>{article}</main><main><p>two</p></main>")[kind] + f"<div class=c3>Seen {i} times, {i * 7} today</div>"
+        rows.append((i, f"http://site.org/{i}", f"<body>{page}</body>"))
+        entries = " ".join(x.split(">")[-1] for x in menu.split("</a>")[:-1])
+        want[i] = " ".join(body) + ("", f" {entries}", " two")[kind]
+    rows.append((99, "http://other.org/", rows[0][2]))
+    got = {x["page_id"]: x["text"] for x in html_text.extract(frame(spark, rows, PAGES)).collect()}
+    assert {k: v for k, v in got.items() if k != 99} == want
+    assert len(got[99]) > len(got[0])  # one page alone has no template
+
+
+def test_large_hosts_need_a_smaller_share(spark):
+    rows = [(i, "http://big.org/", f"<div><p>Now and then</p></div><p>page {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{'klmnop'[i // 1000]}</p>" if i % 5 == 0 else f"<p>page {i}x{'q' * (i % 97)}{'z' * (i // 97)}</p>") for i in range(3000)]
+    got = html_text.extract(frame(spark, rows, PAGES), share=0.25).collect()
+    assert all("Now" not in x["text"] for x in got) and len(got) == 3000
+    few = html_text.extract(frame(spark, rows[:900], PAGES), share=0.25).collect()
+    assert sum("Now" in x["text"] for x in few) == 180
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 3000 + "x" + "</div>" * 3000) == "x"
     assert html_text.main_text("<p>word " * 20000) == " ".join(["word"] * 20000)

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece as library
-from helpers import DOCS
+from helpers import DOCS, awkward
 from test_dedup import WHITE, brute_fingerprint, components
 
 import __spark_entry__
@@ -50,7 +50,7 @@ def test_stages(spark, folder):
     good = stages["quality"](spark, docs, folder)
     model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     rows = docs.collect()
-    kept = [r for r in rows if model.scores(*(np.array([v]) for v in (quality.text_view(r["text"]), quality.meta_view(r["lang"], r["source"], r["n_chars"]))))[0, 2] >= 0.5]
+    kept = [r for r in rows if model.scores(*(np.array([v]) for v in (quality.text_view(r["text"]), quality.meta_view(r["lang"], r["source"], r["n_chars"], quality.facts_of(r["text"])))))[0, 2] >= 0.5]
     assert good.columns == columns and Counter(good.collect()) == Counter(kept)
 
     one = stages["exact_dedup"](spark, good, folder)
@@ -95,6 +95,20 @@ def test_run(spark, folder):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_tables(spark, folder, tmp_path):
+    """Empty tables, and repeated rows with columns of any names, go through every stage but keep the columns."""
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    odd = [(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b", "en", "a", 3), (3, "a b", "en", "a", 3), (None, "word " * 400_000, "en", None, 5)]
+    for rows in ([], odd):
+        docs = awkward(spark.createDataFrame(rows, DOCS))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert (len(got) > 0) == bool(rows), name
+        assert len(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == len(rows)
+
+
 def test_all_are_registered():
     names = __spark_entry__.queries()
     for n in range(1, 11):

@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece as library
-from helpers import DOCS, clashing, frame, some_docs
+from helpers import DOCS, awkward, clashing, frame, some_docs
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -79,6 +79,35 @@ def test_mix(spark):
     assert sum(len((r["text"] or "").encode().split()) for r in mixed) == sum(x[4] for x in first)
 
 
+def brute_mix(rows, block):
+    """Quotas and blocks by the definitions, all in one place."""
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len((text or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    own = np.array([sizes[s] for s in order])
+    aim = mixing.targets(own)
+    quota = brute_seats(aim.tolist(), round(aim.sum() / block), (-(-2 * own // block)).tolist())
+    return {s: min(q * block, 2 * n) for s, q, n in zip(order, quota, own.tolist())}
+
+
+@pytest.mark.parametrize("bundle", [1, 1000])
+def test_whole_mix_takes_the_blocks_of_its_quotas(spark, monkeypatch, bundle):
+    """Many shards and bundles: each source's words are its quota's blocks, up to the last blocks of its shards."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 7)
+    monkeypatch.setattr(mixing, "BUNDLE", bundle)
+    rows = some_docs(7, 60)
+    got = mixing.mix(frame(spark, rows), block=4).collect()
+    want = brute_mix(rows, 4)
+    by_source = {r[0]: r[3] for r in rows}
+    taken = Counter()
+    for r in got:
+        taken[by_source[r["doc_id"]]] += r["taken"]
+    shards = len(rows)
+    for s, n in want.items():
+        assert abs(taken[s] - n) <= 4 * (1 + shards // 7)
+
+
 def test_mix_empty(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None, None, None, None), (2, "", None, "a", 0)])).collect()] == [0, 0]
@@ -133,7 +162,7 @@ def test_toxicity(spark):
     docs, labels = toxic_corpus()
     truth = {i: y for i, _, y in labels}
     df = frame(spark, [*docs, (9001, None, None, None, None), (9002, "", None, None, 0), (None, "moron trash", None, None, 1), docs[0]])
-    model = toxicity.fit(df, spark.createDataFrame([*labels, (8888, None, None), (None, 1, 1), labels[0]], "doc_id bigint, quality int, toxic int"))
+    model = toxicity.fit(awkward(df), spark.createDataFrame([*labels, (8888, None, None), (None, 1, 1), labels[0]], "doc_id bigint, quality int, toxic int"))
     got = toxicity.score(clashing(df), model).collect()
     assert len(got) == len(docs) + 4
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
@@ -196,7 +225,8 @@ def test_quality(spark):
             labels.append((i, int(good), 0)) if i % 3 else None
     truth = {i: y for i, y, _ in labels}
     df = frame(spark, [*docs, (9001, None, None, None, None), (9002, "", "xx", "new", 0), docs[1]])
-    model = quality.fit(df, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    model = quality.fit(awkward(df), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert any(n for *_, n in model.lessons)
     got = quality.score(clashing(df), model).collect()
     assert len(got) == len(docs) + 3 and all(0 <= r["score"] <= 1 for r in got)
     apart = [r for r in got if r["held_out"] and r["doc_id"] in truth]
@@ -216,13 +246,53 @@ def test_co_training_exchanges_lessons():
     labelled, y = rows(40)
     pool, _ = rows(600)
     test, truth = rows(800)
-    alone = quality.co_train(labelled, y, [p[:0] for p in pool])
-    taught = quality.co_train(labelled, y, pool)
+    alone = quality.co_train(labelled, y, quality.of_arrays([p[:0] for p in pool]))
+    taught = quality.co_train(labelled, y, quality.of_arrays(pool))
+    assert all(any(n for _, k, _, n in taught.lessons if k == view) for view in (0, 1)) and not any(n for *_, n in alone.lessons)
     accuracy = lambda m: ((m.scores(*test)[:, 1] >= 0.5) == truth).mean()
     assert accuracy(taught) > accuracy(alone)
     assert ((taught.scores(*test)[:, 2] >= 0.5) == truth).mean() > 0.97
 
 
+def test_lessons_are_those_of_all_unlabelled_documents(spark):
+    """One round's choice against brute force; repeated rows teach once, held-out and labelled ones never."""
+    r = random.Random(2)
+    docs = [(i, " ".join(r.choice("ab" if i % 3 else "abcdefgh") * r.randint(1, 9) for _ in range(r.randint(3, 60))), r.choice(["en", None]), "s", r.choice([None, 40, 400])) for i in range(300)]
+    labels = [(i, i % 3 > 0, 0) for i in range(0, 300, 4)]
+    rows = [dict(zip(("id", "text", "lang", "source", "n_chars"), d)) for d in docs]
+    x = quality._views([rows[i] for i, *_ in labels])
+    y = np.array([float(q) for _, q, _ in labels])
+    views = [quality.Logistic().fit(v, y, np.ones(len(y))) for v in x]
+    calibrations = [quality.Logistic(0.1).fit(v.odds(a)[:, None], y, np.ones(len(y))) for v, a in zip(views, x)]
+    pool = [d for d in rows if d["id"] % 4 and zlib.crc32(str(d["id"]).encode()) % 5]
+    df = awkward(frame(spark, [*docs, docs[1], docs[2], docs[5], (None, "a a a", "en", "s", 3)]))
+    choose = quality.of_documents(df, spark.createDataFrame([(i, int(q), z) for i, q, z in labels], "doc_id bigint, quality int, toxic int"), taught=12)
+    got = choose(views, calibrations, [set(), set()])
+    want = quality.of_arrays(quality._views(pool), taught=12)(views, calibrations, [set(), set()])
+    seen = 0
+    for where in want:
+        odds = [np.sort(np.round(quality._odds(views, calibrations, tuple(c[where][1]))[:, where[0]], 4)) for c in (got, want)]
+        assert odds[0].tolist() == odds[1].tolist()
+        seen += len(odds[0])
+    assert seen > 10
+    more = choose(views, calibrations, [set(got[1, 1][0]), set(got[0, 1][0])])
+    assert not set(more[0, 1][0]) & set(got[0, 1][0])
+
+
+def test_fits_take_rows_whole_in_any_company(spark):
+    docs = [(i, t, "en", "a", 1) for i, t in enumerate(["a b c", None, "", "x " * 2_000_000, "moron " * 20, "d e f"])] * 2 + [(3, "another text", "en", "a", 1)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(6)] + [(2, None, None)], "doc_id bigint, quality int, toxic int")
+    df = awkward(frame(spark, docs))
+    rows = toxicity.sample(df, labels, "toxic", (10, 10))
+    wanted = [i for i in range(6) if zlib.crc32(str(i).encode()) % 5]
+    assert [r["id"] for r in rows] == wanted and all(r["y"] == r["id"] % 2 for r in rows)
+    assert {r["id"]: r["text"] for r in rows}[wanted[0]] == docs[wanted[0]][1]
+    assert 3 not in [r["id"] for r in toxicity.sample(df, labels, "toxic", (10, 10), most_bytes=1000)] or len("another text") < 500
+    scored = quality.score(df, quality.fit(df, labels)).collect()
+    assert len(scored) == len(docs)
+    assert len(toxicity.score(df, toxicity.fit(df, labels)).collect()) == len(docs)
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     df = spark.createDataFrame([(1, "a", None, None, None)], DOCS)
