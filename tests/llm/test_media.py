@@ -299,10 +299,10 @@ def test_menus_recur_by_their_frames(spark):
         body = [" ".join(word() for _ in range(9)) for _ in range(3)]
         article = f"<h1><a href='x'>{body[0]}</a></h1><p>{body[1]}</p><p><a href='y'>{body[2]}</a></p>"
         kind = i % 3
-        page = f"<div class=c1><ul>{menu}</ul></div><div class=c2>{trail}</div>" + (article, f"<article>{article}<ul>{menu}</ul></article>", f"<main>{article}</main><main><p>two</p></main>")[kind] + f"<div class=c3>Seen {i} times, {i * 7} today</div>"
+        page = f"<div class=c1><ul>{menu}</ul></div><div class=c2>{trail}</div>" + (article, f"<article>{article}<ul>{menu}</ul></article>", f"<main>{article}</main><main><p>two {body[0][:6]}</p></main>")[kind] + f"<div class=c3>Seen {i} times, {i * 7} today</div>"
         rows.append((i, f"http://site.org/{i}", f"<body>{page}</body>"))
         entries = " ".join(x.split(">")[-1] for x in menu.split("</a>")[:-1])
-        want[i] = " ".join(body) + ("", f" {entries}", " two")[kind]
+        want[i] = " ".join(body) + ("", f" {entries}", f" two {body[0][:6]}")[kind]
     rows.append((99, "http://other.org/", rows[0][2]))
     got = {x["page_id"]: x["text"] for x in html_text.extract(frame(spark, rows, PAGES)).collect()}
     assert {k: v for k, v in got.items() if k != 99} == want
