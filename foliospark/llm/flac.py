@@ -601,17 +601,22 @@ def read_at(media: list[bytes], offsets: list[int], samples: list[int]) -> list[
         h = _is_frame(data, at, sample // BLOCK)
         if h is None:
             raise FlacError(f"no frame of sample {sample} at byte {at}")
-        line = np.frombuffer(data, np.uint8)
         end = _next_frame(data, at + 8, sample // BLOCK + 1)
-        while True:
-            end = len(data) if end < 0 else end
-            if int(crc16(line, np.array([at]), np.array([end - at - 2]))[0]) == int.from_bytes(data[end - 2 : end], "big"):
-                break
-            if end == len(data):
-                raise FlacError("wrong CRC-16")
-            end = _next_frame(data, end + 1, sample // BLOCK + 1)
         heads.append(h.size)
-        ends.append(end)
+        ends.append(len(data) if end < 0 else end)
+    waiting = list(range(len(media)))  # spans whose footers are yet to be held against them, all at once
+    while waiting:
+        spans = [media[i][offsets[i] : ends[i]] for i in waiting]
+        size = np.array([len(x) for x in spans])
+        start = np.cumsum(size) - size
+        line = np.frombuffer(b"".join(spans), np.uint8)
+        wrong = crc16(line, start, size - 2) != line[start + size - 2].astype(np.int32) * 256 + line[start + size - 1]
+        waiting = [i for i, w in zip(waiting, wrong.tolist()) if w]
+        for i in waiting:  # what looked like the next header stood inside the frame
+            if ends[i] == len(media[i]):
+                raise FlacError("wrong CRC-16")
+            end = _next_frame(media[i], ends[i] + 1, samples[i] // BLOCK + 1)
+            ends[i] = len(media[i]) if end < 0 else end
     spans = [data[a:e] for data, a, e in zip(media, offsets, ends)]
     size = np.array([len(s) for s in spans])
     start = np.cumsum(size) - size
