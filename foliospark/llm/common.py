@@ -107,6 +107,23 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int
         at += n
 
 
+#: The setting by which Spark ends an Arrow batch, and the bytes it gets where the session has none.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of about ``BATCH_BYTES``.
+
+    By Spark's default a batch has 10,000 rows whatever they weigh, which both
+    the executor's JVM and its Python worker then hold at once. A byte limit
+    that the session sets itself stays; a row alone may be larger.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

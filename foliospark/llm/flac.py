@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import by_bytes
+from foliospark.llm.common import by_bytes, map_batches
 
 BLOCK = 576
 RATE = 16000
@@ -758,7 +758,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode_streams([padded(t) for t in texts]), pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).transform(map_batches, run, "doc_id bigint, n_bytes bigint, media binary")
 
 
 _BLOCK_TYPE = pa.struct([("sample_offset", pa.int64()), ("byte_offset", pa.int64()), ("pcm", pa.binary())])
@@ -792,7 +792,7 @@ def pcm_blocks(media: DataFrame, frames: int = SEEK_EVERY) -> DataFrame:
                     blocks.append(_blocks(s, frames) if s else [])
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blocks, pa.list_(_BLOCK_TYPE)), pa.array(kinds, pa.list_(pa.int32())), pa.array(rice, pa.list_(pa.int32()))], ["doc_id", "n_bytes", "media", "blocks", "kinds", "rice"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, _PCM)
+    return media.select("doc_id", "n_bytes", "media").transform(map_batches, run, _PCM)
 
 
 def _blocks(s: Stream, frames: int) -> list[tuple[int, int, bytes]]:
@@ -831,4 +831,4 @@ def features(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return blocks.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media", "blocks", "kinds", "rice").mapInArrow(run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return blocks.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media", "blocks", "kinds", "rice").transform(map_batches, run, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

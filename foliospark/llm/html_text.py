@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import by_bytes, cut, join_by_group
+from foliospark.llm.common import by_bytes, cut, join_by_group, map_batches
 
 MIN_PAGES = 5
 SHARE = 0.3
@@ -269,7 +269,7 @@ def templates(pages: DataFrame, host: str = "_host", min_pages: int = MIN_PAGES,
 
     Pages with equal contents count once, so copies of a page make no template.
     """
-    hashed = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col("html").cast("string")).mapInArrow(_hashed, _HASHED)
+    hashed = pages.filter(F.col(host).isNotNull()).select(F.col(host).alias("host"), F.col("html").cast("string")).transform(map_batches, _hashed, _HASHED)
     hashed = cut(hashed)
     unique = hashed.groupBy("host", "content").agg(F.first("hashes").alias("hashes"), F.count("*").alias("n"))
     unique = cut(unique)
@@ -317,4 +317,4 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     columns = ["page_id", "url", "html", "_template", "_host"]
-    return joined.select(*columns).unionByName(rest.select(*columns)).mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return joined.select(*columns).unionByName(rest.select(*columns)).transform(map_batches, run, "page_id bigint, url string, text string, n_chars bigint")

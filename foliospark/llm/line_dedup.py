@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import by_bytes, cut, join_by_group, parallelism
+from foliospark.llm.common import by_bytes, cut, join_by_group, map_batches, parallelism
 
 MIN_LINES = 2
 #: Stands for a null id: the last document.
@@ -99,7 +99,7 @@ def _numbered(keys: DataFrame, columns: list[str], group: str | None = None) ->
     """
     spark = keys.sparkSession
     dealt = keys.repartitionByRange(parallelism(spark), *columns).sortWithinPartitions(*columns)
-    local = cut(dealt.mapInArrow(_running(group), T.StructType([*keys.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])))
+    local = cut(dealt.transform(map_batches, _running(group), T.StructType([*keys.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])))
     by = F.lit(0) if group is None else F.col(group)
     parts = local.groupBy("part").agg(F.sum("n").alias("n"), F.min(by).alias("low"), F.max(F.struct(by.alias("g"), (F.col("before") + F.col("n")).alias("sum"))).alias("high"), F.max((F.col("n") > 1) & F.col("more")).alias("open")).orderBy("part").collect()
     offsets, here, at = [], None, 0
@@ -198,7 +198,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    lines = cut(keyed.select("doc", "row", "text").mapInArrow(_lines, "doc bigint, row bigint, pos int, high bigint, low bigint, n int"))
+    lines = cut(keyed.select("doc", "row", "text").transform(map_batches, _lines, "doc bigint, row bigint, pos int, high bigint, low bigint, n int"))
     # Of documents with the same lines only the first is sorted; the others are copies of it as a whole.
     wholes = lines.filter("pos < 0").select("doc", "row", F.xxhash64("high", "low", "n").alias("_k"), "high", "low", "n").dropDuplicates(["doc", "row"])
     wholes = cut(wholes)
@@ -208,4 +208,4 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranks = suffix_ranks(lines.filter("pos >= 0").join(later, ["doc", "row"], "left_anti").drop("n"), min_lines=min_lines)
     found = ranks.filter("copied > 0").select("doc", "row", "pos", "copied").unionByName(later.filter(F.col("n") >= min_lines).select("doc", "row", F.lit(0).alias("pos"), F.col("n").alias("copied")))
     copies = found.groupBy("doc", "row").agg(F.collect_list(F.struct("pos", "copied")).alias("copies"))
-    return keyed.join(copies, ["doc", "row"], "left").select("doc_id", "text", "copies").mapInArrow(_kept, "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_sha256 string, kept_text string")
+    return keyed.join(copies, ["doc", "row"], "left").select("doc_id", "text", "copies").transform(map_batches, _kept, "doc_id bigint, n_lines bigint, n_removed bigint, n_runs bigint, longest_run bigint, kept_sha256 string, kept_text string")

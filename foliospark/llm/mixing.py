@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.common import cut, join_by_group
+from foliospark.llm.common import cut, join_by_group, map_batches
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -169,7 +169,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, source_col: str, carr
         F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("_key"), F.lit(0).cast("bigint").alias("_size"),
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)],
     )
-    sized = base.mapInArrow(_sized, base.schema).withColumn("_src", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")))
+    sized = base.transform(map_batches, _sized, base.schema).withColumn("_src", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")))
     small = cut(sized.select("_id", "_key", "_size", "_src", "_source"))
     plan = cut(_plan(small, weights, share, most, block))
     total = small.count()

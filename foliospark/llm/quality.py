@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import by_bytes, cut, drop_cut
+from foliospark.llm.common import by_bytes, cut, drop_cut, map_batches
 from foliospark.llm.toxicity import held_out, sample
 
 LABELLED = 2000
@@ -116,10 +116,6 @@ def _p(odds: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-odds))
 
 
-def _p(odds: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-odds))
-
-
 @dataclass
 class CoTrained:
     views: list[Logistic]
@@ -230,7 +226,7 @@ def of_documents(docs: DataFrame, labels: DataFrame, taught: int = TAUGHT) -> Ch
                     odds = np.round(_odds(views, calibrations, tuple(_views(part.select(_INPUTS).to_pylist()))), 6)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(odds[:, 0]), pa.array(odds[:, 1])], ["id", "key", "odds0", "odds1"])
 
-        rows = own.mapInArrow(scored, "id bigint, key bigint, odds0 double, odds1 double")
+        rows = own.transform(map_batches, scored, "id bigint, key bigint, odds0 double, odds1 double")
         rows = cut(rows.join(labelled, "id", "left_anti").dropDuplicates(["key"]))
         least = float(np.log(CONFIDENT / (1 - CONFIDENT)))
         best = []
@@ -247,7 +243,7 @@ def of_documents(docs: DataFrame, labels: DataFrame, taught: int = TAUGHT) -> Ch
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v.tolist(), pa.list_(pa.float64())) for v in x)], ["key", "content", "meta"])
 
         wanted = F.broadcast(picked.select("key").distinct())
-        found = own.join(wanted, "key", "left_semi").select("key", *_INPUTS).mapInArrow(viewed, "key bigint, content array<double>, meta array<double>")
+        found = own.join(wanted, "key", "left_semi").select("key", *_INPUTS).transform(map_batches, viewed, "key bigint, content array<double>, meta array<double>")
         features = {r["key"]: (r["content"], r["meta"]) for r in found.dropDuplicates(["key"]).collect()}
         out: dict[tuple[int, int], Rows] = {}
         lists: dict[tuple[int, int], list[int]] = {(k, label): [] for k in (0, 1) for label in (1, 0)}
@@ -299,7 +295,7 @@ def score(docs: DataFrame, model: CoTrained | float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(s[:, k]) for k in range(3)), pa.array((s[:, 2] >= 0.5).astype(np.int32))], ["doc_id", "held_out", "text_score", "meta_score", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), *_INPUTS)
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, text_score double, meta_score double, score double, predicted int")
+    return rows.transform(map_batches, run, "doc_id bigint, held_out boolean, text_score double, meta_score double, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: CoTrained | float) -> DataFrame:
@@ -314,4 +310,4 @@ def keep_good(docs: DataFrame, model: CoTrained | float) -> DataFrame:
             for part in by_bytes(batch, batch.schema.get_field_index("text")):
                 yield part.filter(pa.array(_scored(model, part)[:, 2] >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)

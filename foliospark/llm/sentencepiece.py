@@ -23,7 +23,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import by_bytes
+from foliospark.llm.common import by_bytes, map_batches
 
 MARK = "▁"
 TABLE_CHUNKS = 400_000
@@ -101,4 +101,4 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", id_col: s
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).transform(map_batches, run, schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, drop_cut, free_name, join_by_group, one_of_each, whole_order
+from foliospark.llm.common import cut, drop_cut, free_name, join_by_group, map_batches, one_of_each, whole_order
 
 SEED = 42
 SHINGLE = 3
@@ -87,7 +87,7 @@ def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of every row, as a signed long."""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string")).transform(map_batches, _fingerprints, "doc_id bigint, fp bigint")
 
 
 #: The quadruples of positions: the 14 planes of a cube whose corners are the positions.
@@ -231,6 +231,6 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     result; columns may have any names.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    fps = cut(own.mapInArrow(_keyed_fingerprints, "doc_id bigint, row bigint, fp bigint"))
+    fps = cut(own.transform(map_batches, _keyed_fingerprints, "doc_id bigint, row bigint, fp bigint"))
     named = _components(fps.select("doc_id", "fp"), long_list).select("fp", "n", F.col("root").alias("group"))
     return keep_first(docs, join_by_group(fps, named, "fp", "n", fps.count()).select("doc_id", "row", "group"), id_col, text_col)

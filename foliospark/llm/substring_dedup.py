@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, parallelism
+from foliospark.llm.common import cut, map_batches, parallelism
 
 WINDOW = 50
 MINIMISER = 6
@@ -159,7 +159,7 @@ def _sampled(id_col: str) -> Column:
 
 def frequent_runs(docs: DataFrame, id_col: str, text_col: str, minimiser: int, n: int) -> np.ndarray:
     """Order values of runs that many of the ``n`` sampled documents hold."""
-    counts = docs.filter(_sampled(id_col)).select(F.col(text_col).cast("string")).mapInArrow(_sampled_runs(minimiser), "run bigint").groupBy("run").agg(F.count("*").alias("n"))
+    counts = docs.filter(_sampled(id_col)).select(F.col(text_col).cast("string")).transform(map_batches, _sampled_runs(minimiser), "run bigint").groupBy("run").agg(F.count("*").alias("n"))
     often = counts.filter(F.col("n") >= max(3.0, FREQUENT * n)).orderBy(F.desc("n"), "run").limit(FREQUENT_RUNS)
     return np.array([r["run"] for r in often.select("run").collect()], np.uint64)
 
@@ -401,9 +401,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
     order = Order(frequent_runs(docs, id_col, text_col, minimiser, facts["sampled"]), minimiser)
-    blobs = keyed.mapInArrow(_sender(buckets, window, order), _BLOB)
-    ranges = cut(blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_receiver(window), _RANGE))
+    blobs = keyed.transform(map_batches, _sender(buckets, window, order), _BLOB)
+    ranges = cut(blobs.repartitionById(buckets, F.col("bucket")).transform(map_batches, _receiver(window), _RANGE))
     # Rows that repeat an id and a text found the same ranges.
     each = ranges.distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     marked = own.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("row", F.xxhash64("doc_id", "text")).join(each, ["doc", "row"], "left")
-    return marked.select("doc_id", "text", "ranges").mapInArrow(_trimmed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")
+    return marked.select("doc_id", "text", "ranges").transform(map_batches, _trimmed, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import by_bytes
+from foliospark.llm.common import by_bytes, map_batches
 
 TRAIN_TOXIC = 1200
 TRAIN_CLEAN = 1800
@@ -372,4 +372,4 @@ def score(docs: DataFrame, model: Chain | float, id_col: str = "doc_id", text_co
                 )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<start:int,stop:int>>")
+    return rows.transform(map_batches, run, "doc_id bigint, held_out boolean, score double, predicted int, spans array<struct<start:int,stop:int>>")
