@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from foliospark.llm.common import by_bytes, map_batches
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000
+#: Entries of a worker's table, about 300 bytes each.
+TABLE_CHUNKS = 100_000
+#: Bytes and rows that are segmented at once.
+PART_BYTES, PART_ROWS = 1 << 20, 64
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _PROBES = ("a  b", " a", "ﬁ ½ Ａ", "é  x", "a\tb\nc ")
 
@@ -92,7 +95,7 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", id_col: s
         known = ChunkTable(load(model))
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for part in by_bytes(batch, 1, 4 << 20, 256):
+            for part in by_bytes(batch, 1, PART_BYTES, PART_ROWS):
                 rows = known.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sha(i) for _, i, _ in rows], pa.string()), pa.array([sha(d) for *_, d in rows], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
