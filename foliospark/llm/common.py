@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,8 +108,16 @@ def by_bytes(batch: pa.RecordBatch, column: int, most: int = 8 << 20, rows: int
         at += n
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: The setting by which Spark ends an Arrow batch, and the bytes it gets where the session has none.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
@@ -116,12 +125,20 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
 
     By Spark's default a batch has 10,000 rows whatever they weigh, which both
     the executor's JVM and its Python worker then hold at once. A byte limit
-    that the session sets itself stays; a row alone may be larger.
+    that the session sets itself stays; a row alone may be larger. Small
+    batches also stay below the size from which the JVM's Arrow buffers come
+    in chunks of their own, and workers, which serve further tasks, give back
+    what a task has freed.
     """
     conf = df.sparkSession.conf
     if conf.get(BATCH_SETTING, None) is None:
         conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
 
 
 def parallelism(spark: SparkSession) -> int:
