@@ -47,6 +47,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliospark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release()
     drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
