@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -48,6 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/foliospark/{uuid.uuid4().hex}"
     df.write.parquet(path)
     release()
+    settle(spark)
     drop_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -117,6 +119,24 @@ def release() -> None:
         trim(0)
 
 
+#: Seconds between two requests of ``settle``, at least, and when the last one was.
+SETTLE_SECONDS = 5.0
+_settled = float("-inf")
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage, so that Spark lets go what finished steps have left.
+
+    Spark's cleaner drops broadcasts (on executors too) and shuffle files only
+    once the driver's JVM has found that nothing refers to them, which by
+    default it is asked for every half hour. What is still referred to stays.
+    """
+    global _settled
+    if time.monotonic() - _settled >= SETTLE_SECONDS:
+        spark.sparkContext._jvm.System.gc()
+        _settled = time.monotonic()
+
+
 #: The setting by which Spark ends an Arrow batch, and the bytes it gets where the session has none.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 
