@@ -14,6 +14,11 @@ from foliospark import schema as S
 from foliospark.functions.text import suffix_of
 from foliospark.sources import readers
 
+#: A UTF-8 character at the end of Latin-1 characters that lacks its last bytes.
+_BEGUN = (
+    r"([\xc2-\xdf]|\xe0[\xa0-\xbf]?|[\xe1-\xec\xee\xef][\x80-\xbf]?|\xed[\x80-\x9f]?"
+    r"|\xf0([\x90-\xbf][\x80-\xbf]?)?|[\xf1-\xf3][\x80-\xbf]{0,2}|\xf4([\x80-\x8f][\x80-\xbf]?)?)\z"
+)
 _HTML = r"(?i)<\s*(!doctype\s+html|html|head|body|table|div|p|img)\b"
 
 
@@ -53,13 +58,20 @@ def is_mail(data: Column) -> Column:
     return window.startswith("From ") | (hits >= 3) | ((hits == 2) & mime)
 
 
+def _whole_characters(data: Column) -> Column:
+    """The head of whole files without the UTF-8 character that its end may part."""
+    last = as_latin(F.substring(data, S.SNIFF_BYTES - 2, 3))
+    begun = F.octet_length(F.encode(F.regexp_extract(last, _BEGUN, 0), "ISO-8859-1"))
+    return F.substring(data, F.lit(1), F.lit(S.SNIFF_BYTES) - F.when(F.octet_length(data) > S.SNIFF_BYTES, begun).otherwise(0))
+
+
 def is_textual(data: Column) -> Column:
-    """Decodable, without NUL near the start, and with few control characters."""
+    """Decodable, without NUL near the start, and with few control characters; ``data`` is the whole file."""
     head = F.substring(data, 1, S.SNIFF_BYTES)
     line = as_latin(head)
     western = ~line.rlike(r"[\x81\x8d\x8f\x90\x9d]")
     control = F.octet_length(head) - F.length(F.regexp_replace(line, r"[\x00-\x08\x0e-\x1f]", ""))
-    return (F.octet_length(head) > 0) & ~F.contains(F.substring(data, 1, 1024), F.lit(b"\0")) & (F.is_valid_utf8(head.cast("string")) | western) & (control < 0.05 * F.octet_length(head))
+    return (F.octet_length(head) > 0) & ~F.contains(F.substring(data, 1, 1024), F.lit(b"\0")) & (F.is_valid_utf8(_whole_characters(data).cast("string")) | western) & (control < 0.05 * F.octet_length(head))
 
 
 @F.pandas_udf(T.StructType().add("names", T.ArrayType(T.StringType())).add("mimetype", T.StringType()))
@@ -90,7 +102,7 @@ def detect(content: Column, name: Column, facts: Column | None = None) -> Column
     return (
         F.when(_starts(head, b"%PDF"), "pdf").when(_starts(head, b"{\\rt"), "rtf").when(_starts(head, b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), ole).when(_starts(head, b"PK\x03\x04"), zipped)
         .when(sniff_mime(head, name).startswith("image/"), "image").when(is_mail(head), "email").when(as_latin(F.substring(head, 1, S.HINT_BYTES)).rlike(_HTML), "html")
-        .when(is_textual(head), "text").otherwise(by_suffix("unknown"))
+        .when(is_textual(content), "text").otherwise(by_suffix("unknown"))
     )
 
 

@@ -202,6 +202,21 @@ def test_native_sizes_and_kinds_agree_with_readers(spark):
         assert (x["size"] and tuple(x["size"])) == image_size(data), x["path"]
 
 
+def test_texts_whose_head_ends_within_a_character(spark):
+    """Long texts stay texts wherever the sniffed head parts a character; broken ends stay broken."""
+    tails = ["Á" * 40, "Á”" * 40, "😀Á" * 40]
+    own = {f"{k}/{i}": (b"a" * (65536 - i) + t.encode()) for k, t in enumerate(tails) for i in range(12)}
+    own |= {f"bad/{i}": b"\x81" + b"a" * (65535 - i) + "Á😀".encode()[:i] for i in range(1, 6)}
+    own |= {f"mid/{i}": b"\x81" * 4 + b"a" * 70000 + b"\xf0" * i for i in range(3)}
+    own |= {f"odd/{i}": b"\x81" + b"a" * (65535 - len(e)) + e + b"\x80" * 9 for i, e in enumerate((b"\xe0\x80", b"\xed\xa0", b"\xf0\x80", b"\xf4\x90", b"\xe0\xa0", b"\xf4\x8f\xbf", b"\xc1"))}
+    # A file that ends within a character is not valid, with or without a longer head.
+    own |= {f"end/{n}": b"\xc3\x81" + b"a" * (n - 3) + b"\xc3" for n in (100, 65536, 65537)}
+    found = {x["path"]: x["kind"] for x in dt.with_kind(files(spark, own)).collect()}
+    assert found == {k: detect(v, k) for k, v in own.items()}
+    assert all(found[k] == "text" for k in own if k[0] in "012")
+    assert found["end/100"] == found["end/65536"] == "unknown" and found["end/65537"] == "text"
+
+
 def test_names(spark):
     names = ["a/b.txt", "..\\..\\x?.doc", "  ", "über (1)[2].x", "x" * 300, "a/", "..", "slide10.xml", "$%&"]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", tx.safe_name(F.col("n")).alias("s")).collect()
