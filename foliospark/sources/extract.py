@@ -25,14 +25,16 @@ def binary_files(spark: SparkSession, path: str | list[str], **options: object)
     return spark.read.format("binaryFile").options(**options).load(path).select("path", "content")
 
 
-def extract(files: DataFrame, include_headers: bool = True, embedded_images: bool = True, max_pages: int | None = None, compat_meta: bool = False, mode: str = "column", sidecars: bool = False) -> DataFrame:
+def extract(files: DataFrame, include_headers: bool = True, embedded_images: bool = True, max_pages: int | None = None, compat_meta: bool = False, mode: str = "column", sidecars: bool = False, loose_references: bool = True) -> DataFrame:
     """Documents of ``files`` (``path``, ``content``), one row a node of each tree.
 
     What a reader raises becomes the ``error`` column, or with
     ``mode="raise"`` fails the job. With ``sidecars`` the files of a page's
     folder are brought beside it for its images; otherwise nothing is shuffled.
+    Without ``loose_references`` a page's character references count only with
+    their semicolon; others stay as they are written.
     """
-    options = Options(include_headers, embedded_images, max_pages, compat_meta, readers=dict(readers.REGISTERED))
+    options = Options(include_headers, embedded_images, max_pages, compat_meta, loose_references, readers=dict(readers.REGISTERED))
 
     def one(path: str, data: bytes | None, beside: dict[str, bytes] | None) -> list[dict]:
         name = path.rstrip("/").rpartition("/")[2]

@@ -362,6 +362,17 @@ def test_query_equals_sql(spark, oracle, name):
     assert values(got) == values(want)
 
 
+@pytest.mark.parametrize("name", ["html_texts"])
+def test_cut_references_as_in_sql(spark, tmp_path, name):
+    """Titles and headings that end within a reference."""
+    cut = "The&amp;&amp;&amp; and &lt;that&gt;&amp;"
+    page = "<html><head><title>{0}</title><meta charset=utf-8></head><body><h1>{0}</h1><p>x &amp; y</p></body></html>"
+    spark.createDataFrame([(i, "http://a.b/c", page.format(cut[: len(cut) - i])) for i in range(8)], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert values(queries.QUERIES[name](spark, str(tmp_path)).toPandas()) == values(c.sql(ORACLE[name]).df())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables are not here")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

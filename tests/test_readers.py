@@ -173,6 +173,14 @@ def test_html():
     assert texts(read(page, compat_meta=True)) == [] and read(page, compat_meta=True).meta["title"] == "A & B"
 
 
+def test_references_without_semicolon():
+    page = "<title>a &amp; b &amp</title><p>&lt;x&gt; &ampy; &notit; &#38; &#38 &eacute &x; &\ue000<img src='data:,a&amp;b&lt'>"
+    loose, strict = read(page, "a.html"), read(page, "a.html", loose_references=False)
+    assert loose.meta["title"] == "a & b &" and strict.meta["title"] == "a & b &amp"
+    assert texts(loose) == ["<x> &y; ¬it; & & é &x; &\ue000"] and texts(strict) == ["<x> &ampy; &notit; & &#38 &eacute &x; &\ue000"]
+    assert [list(d.blobs.values()) for d in (loose, strict)] == [[b"a&b<"], [b"a&b&lt"]]
+
+
 def test_charsets():
     assert texts(read('<p>é<meta charset="latin-1">'.encode("latin-1"), "a.html")) == ["é"]
     assert texts(read("﻿<p>ü".encode(), "a.html")) == ["ü"]
