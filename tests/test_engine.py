@@ -362,7 +362,7 @@ def test_query_equals_sql(spark, oracle, name):
     assert values(got) == values(want)
 
 
-@pytest.mark.parametrize("name", ["html_texts"])
+@pytest.mark.parametrize("name", ["html_titles", "html_texts"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     """Titles and headings that end within a reference."""
     cut = "The&amp;&amp;&amp; and &lt;that&gt;&amp;"
