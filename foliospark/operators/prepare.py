@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType
@@ -22,12 +22,22 @@ CONTAINER_NOTE = "containers are not rendered; use prepare_all() to handle each
 OFF_NOTE = "no sendable image and render_fallback is off"
 
 
-def judged(rows: DataFrame, image_filter: ImageFilter = DEFAULT, min_text_chars: int = MIN_TEXT_CHARS) -> DataFrame:
-    """Adds ``kept, rejected, threshold, strategy, notes`` to rows with ``kind, text, images``."""
+def decided(rows: DataFrame, n_images: Column, n_kept: Column, n_rejected: Column, min_text_chars: int = MIN_TEXT_CHARS) -> DataFrame:
+    """Adds ``threshold, strategy, notes`` to rows with ``kind, text``, from numbers of images alone."""
     text, kind = F.col("text"), F.col("kind")
-    out = rows.withColumn("_p", partition_images(F.col("images"), image_filter)).withColumns({"kept": F.col("_p.kept"), "rejected": F.col("_p.rejected"), "threshold": st.threshold_for(family_of(kind), min_text_chars)}).drop("_p")
-    out = out.withColumn("strategy", st.decide(text, F.col("threshold"), F.size("images"), F.size("kept"), kind))
-    return out.withColumn("notes", F.array(st.explain(F.col("strategy"), text, F.col("threshold"), F.size("kept"), F.size("rejected"))))
+    out = rows.withColumn("threshold", st.threshold_for(family_of(kind), min_text_chars))
+    out = out.withColumn("strategy", st.decide(text, F.col("threshold"), n_images, n_kept, kind))
+    return out.withColumn("notes", F.array(st.explain(F.col("strategy"), text, F.col("threshold"), n_kept, n_rejected)))
+
+
+def judged(rows: DataFrame, image_filter: ImageFilter = DEFAULT, min_text_chars: int = MIN_TEXT_CHARS) -> DataFrame:
+    """Adds ``kept, rejected, threshold, strategy, notes`` to rows with ``kind, text, images``.
+
+    Where many rows share a set of images, ``apply_filter`` judges each set
+    once, and ``decided`` takes the numbers.
+    """
+    out = rows.withColumn("_p", partition_images(F.col("images"), image_filter)).withColumns({"kept": F.col("_p.kept"), "rejected": F.col("_p.rejected")}).drop("_p")
+    return decided(out, F.size("images"), F.size("kept"), F.size("rejected"), min_text_chars)
 
 
 def _rendered(rows: DataFrame, files: DataFrame, dpi: int, max_pages: int | None) -> DataFrame:
@@ -63,13 +73,17 @@ def _rendered(rows: DataFrame, files: DataFrame, dpi: int, max_pages: int | None
     return wanted.select("doc_id", "name", "kind", content.alias("content")).mapInArrow(run, schema)
 
 
-def finish(rows: DataFrame, files: DataFrame | None = None, render_fallback: bool = True, render_dpi: int = RENDER_DPI, max_pages: int | None = None) -> DataFrame:
+def finish(rows: DataFrame, files: DataFrame | None = None, render_fallback: bool = True, render_dpi: int = RENDER_DPI, max_pages: int | None = None, n_kept: Column | None = None) -> DataFrame:
     """Adds ``rendered``, and to ``notes`` what follows where no image can be sent.
 
     Pages are rendered only for rows that want them and only if ``files``
-    (``path, content``) gives their bytes; a failure becomes a note.
+    (``path, content``) gives their bytes; a failure becomes a note. Rows
+    without ``kept`` say by ``n_kept`` how many images are; they get no pages.
     """
-    wants = (F.size("kept") == 0) & (F.col("strategy") != "text_only")
+    if render_fallback and n_kept is not None:
+        raise ValueError("pages are rendered in place of the images in kept")
+    n_kept = F.size("kept") if n_kept is None else n_kept
+    wants = (n_kept == 0) & (F.col("strategy") != "text_only")
     inside = F.col("n_children") > 0
     add = lambda c: F.concat("notes", F.array(c))
     if render_fallback:
@@ -86,7 +100,7 @@ def finish(rows: DataFrame, files: DataFrame | None = None, render_fallback: boo
         out = out.withColumns({"rendered": F.coalesce(ok, F.lit(False)), "kept": F.when(ok, F.col("pages")).otherwise(F.col("kept")), "strategy": F.when(ok, F.when(F.col("text") != "", "hybrid").otherwise("image_only")).otherwise(F.col("strategy"))}).drop("pages", "render_error")
     else:
         out = rows.withColumn("notes", F.when(wants, add(F.when(inside, CONTAINER_NOTE).otherwise(OFF_NOTE))).otherwise(F.col("notes"))).withColumn("rendered", F.lit(False))
-    blind = st.needs_vision(F.col("strategy")) & (F.size("kept") == 0)
+    blind = st.needs_vision(F.col("strategy")) & (n_kept == 0)
     out = out.withColumn("notes", F.when(blind, add(F.lit(WARNING))).otherwise(F.col("notes")))
     return out.withColumn("needs_vision", st.needs_vision(F.col("strategy")))
 

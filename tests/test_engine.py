@@ -21,7 +21,7 @@ from foliospark.functions import views
 from foliospark.functions.json import object_in
 from foliospark.operators import model_call, payload, tree
 from foliospark.operators.filters import KEEP_ALL, ImageFilter, apply_filter, partition_images
-from foliospark.operators.prepare import CONTAINER_NOTE, WARNING, prepare, prepare_all, summary
+from foliospark.operators.prepare import CONTAINER_NOTE, WARNING, decided, finish, judged, prepare, prepare_all, summary
 from foliospark.plans import fixtures as fx
 from foliospark.plans import queries, selfcheck
 from foliospark.plans.oracle import ORACLE
@@ -362,6 +362,32 @@ def test_query_equals_sql(spark, oracle, name):
     assert values(got) == values(want)
 
 
+@pytest.mark.parametrize("name", ["strategies_with_images", "message_contents", "kind_report", "prepare_notes"])
+def test_sets_of_images_are_judged_once(spark, tmp_path, name):
+    """Documents that share a set of many images get its numbers; no row holds the images themselves."""
+    parts = [(i, f"p{i}", f"Brand#{i % 7}", "STANDARD" if i % 3 else "LARGE", i % 50 + 1, 895 + i % 977 + 0.5) for i in range(200 * 40)]
+    spark.createDataFrame([r for r in parts if r[0] % 200 < 150], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    texts = (None, "", " \n", "short", 'x"\\\n' * 60)
+    spark.createDataFrame([(i, texts[i % 5], "en", "a", 1) for i in range(0, 6000, 7)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    for t in ("part", "documents"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert values(got.toPandas()) == values(c.sql(ORACLE[name]).df())
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
+def test_numbers_decide_as_images_do(spark, docs):
+    rows = docs.select("doc_id", "kind", "n_children", views.body_text(F.col("blocks")).alias("text"), views.images(F.col("blocks")).alias("images"))
+    whole = judged(rows)
+    numbers = whole.select("doc_id", "kind", "n_children", "text", F.size("images").alias("i"), F.size("kept").alias("k"), F.size("rejected").alias("r"))
+    own = finish(decided(numbers, F.col("i"), F.col("k"), F.col("r")), render_fallback=False, n_kept=F.col("k"))
+    same = ("doc_id", "threshold", "strategy", "notes", "needs_vision")
+    assert sorted(own.select(*same).collect()) == sorted(finish(whole, render_fallback=False).select(*same).collect())
+    with pytest.raises(ValueError):
+        finish(own, n_kept=F.col("k"))
+
+
 @pytest.mark.parametrize("name", ["html_titles", "html_texts"])
 def test_cut_references_as_in_sql(spark, tmp_path, name):
     """Titles and headings that end within a reference."""
