@@ -2,15 +2,16 @@
 
 1. quality: documents that the co-trained classifier rejects go.
 2. exact_dedup: one document of each group of equal texts stays.
-3. near_dedup: one document of each component of near copies (five-word shingles, Jaccard 0.8 or more) stays.
+3. near_dedup: one document of each component of near copies (fingerprints within two bits, or five-word shingles with a Jaccard similarity of 0.8 or more) stays.
 4. mixing: sources are mixed to target weights; documents repeat or are cut as the mix takes them.
 5. tokens: what is left is encoded with a public SentencePiece vocabulary, and decoded.
 
 All but the last return the columns of ``documents``, whatever further ones it has.
 
-Near dedup at a similarity of 0.8 is out of the reach of positional bytes of
-fingerprints, so that stage finds its pairs with a prefix filter and shares
-the rest with the SimHash operator (``near_dedup``, and the README's figures).
+Near dedup links what the SimHash operator links (op1's index of positional
+bytes, tally of hits and bits that differ), whole. Copies of a similarity of
+0.8 that differ in more bits are out of the reach of positional bytes, so an
+exact join of the whole sets links them too (``near_dedup``).
 
 Defined results, for every stage: null and empty texts are documents like any
 other; repeated rows are judged alike, and dedup keeps one of them; ties go to
@@ -24,7 +25,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import exact_dedup, mixing, near_dedup, quality, sentencepiece
+from foliospark.llm import exact_dedup, mixing, near_dedup, quality, sentencepiece, simhash
 from foliospark.llm.common import drop_at_end, shared_dir, table
 
 MODEL = "piece_bpe_32k.model"
@@ -41,8 +42,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return near_dedup.near_dedup(docs)
+    """One document of each component of near copies: those that fingerprints link, and those that whole sets do."""
+    return near_dedup.near_dedup(docs, linked=simhash.row_groups(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

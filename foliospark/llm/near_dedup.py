@@ -9,6 +9,9 @@ shingle among the first ``k - ceil(0.8 k) + 1`` of each, so the inverted index
 holds a fifth of each set. Which order it is changes the cost only; shingles
 that a 1/32 sample of documents shows to be frequent come last.
 
+SimHash links (``simhash.row_groups``) may be given beside: what fingerprints
+have linked is linked here too, and the index finds what they cannot reach.
+
 Pairs that meet in a list are let go where their sizes and places rule the
 similarity out if that shingle is the first they share (similar ones pass in
 that list at the latest), then where parity sketches do: a
@@ -18,8 +21,10 @@ are verified on the whole sets. A list of over ``LONG_LIST`` sets is not paired
 off at first: its members meet the least by hash of the sets of about their
 size, which is the same in most lists of a crowd. Components of what that
 links are then known, and only sets of *different* components still meet in
-the list, which leaves nothing to do where a crowd has become one component.
-No list is cut, so components are those of all pairs.
+the list, which leaves nothing to do where a crowd has become one component;
+they meet in a worker that holds short sketches of the list's sets, so that
+pairs which these rule out are never written. No list is cut, so components
+are those of all pairs.
 
 Only distinct sets are indexed; rows of equal sets form one node.
 """
@@ -47,6 +52,9 @@ CENTRES = 8
 #: Shingles, at most, that are known as frequent.
 FREQUENT = 1 << 16
 
+#: Bytes of the sketches that go with the entries of long lists, at most.
+SHORT_SKETCH = 64
+
 _INDEX = "doc_id bigint, row bigint, node bigint, k int, keys array<bigint>, sketch binary"
 _ENTRY = "a bigint, b bigint, key bigint, k int, pos int"
 
@@ -75,6 +83,13 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """A sketch folded to ``size`` bytes at most."""
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def _hashes(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +186,56 @@ def _pairs(similarity: Fraction, long_list: int):
     return run
 
 
+def _open_pairs(similarity: Fraction):
+    """Possible pairs ``a, b`` of different components in long lists: ``key, main, node, k, pos, root, sketch``.
+
+    Members outside a list's largest component (``main``) meet all of other
+    components. One member meets the list at a time, so a list costs memory
+    by its length only.
+    """
+    num, den = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        key, main, node, k, pos, root = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(6))
+        k, pos = k.astype(np.int64), pos.astype(np.int64)
+        short = [np.frombuffer(x.as_py(), np.uint8) for b in held for x in b.column(6)]
+        sizes = np.array([len(x) for x in short])
+        order = np.argsort(key, kind="stable")
+        left, right = [], []
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            # Sketches of each length, folded to every shorter one where such sets are met.
+            tables = {}
+            for n in np.unique(sizes[own]):
+                tables[n] = np.stack([_folded(short[i], n) if sizes[i] >= n else np.zeros(n, np.uint8) for i in own])
+            for at, i in enumerate(own):
+                if root[i] == main[i]:
+                    continue
+                ok = (root[own] != root[i]) & ((root[own] == main[i]) | (node[own] > node[i])) & _possible(k[i], pos[i], k[own], pos[own], similarity)
+                for n in np.unique(sizes[own[ok]]):
+                    there = np.flatnonzero(ok & (sizes[own] == n))
+                    m = min(n, sizes[i])
+                    apart = np.bitwise_count(tables[m][there] ^ tables[m][at]).sum(1)
+                    both = k[i] + k[own[there]]
+                    good = own[there[(both - apart) * den >= num * (both + apart)]]
+                    left.append(np.minimum(node[good], node[i]))
+                    right.append(np.maximum(node[good], node[i]))
+        if left:
+            found = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000, j]) for j in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _short_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        short = [_folded(np.frombuffer(x.as_py(), np.uint8), SHORT_SKETCH).tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], ["node", "sketch"])
+
+
 def _whole(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +299,24 @@ def _similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int,
     return edges
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_list: int = LONG_LIST) -> DataFrame:
+def _given(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Links ``a, b`` of each node of ``rows`` (``row, node``) to the least node that shares a group of ``linked``."""
+    own = rows.groupBy("row").agg(F.min("node").alias("node")).join(linked.groupBy("row").agg(F.min("group").alias("group")), "row")
+    own = cut(own.select("node", "group").distinct())
+    least = cut(own.groupBy("group").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    out = cut(join_by_group(own, least, "group", "n", own.count()).filter("a <> node").select("a", F.col("node").alias("b")))
+    drop_cut(own, least)
+    return out
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_list: int = LONG_LIST, linked: DataFrame | None = None) -> DataFrame:
     """``doc_id, row, group``: for each row, with its ``row_key``, the component of its shingle set.
 
     Words are parted by ASCII white space and compared without the case of
     ASCII letters. A text of fewer words than a shingle has one shingle of all
     of them. Texts without words, nulls among them, are equal and like no other.
+    Rows that have one group in ``linked`` (``row, group``, the same keys) are
+    linked however like their sets are.
     """
     level = Fraction(str(similarity))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -256,6 +333,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = cut(rows.select("doc_id", "row", "node"))
     drop_cut(rows)
     edges = _similar(met.filter("b IS NOT NULL").select("a", "b"), texts, nodes, shingle, level)
+    if linked is not None:
+        edges = edges.unionByName(_given(named, linked))
 
     crowds = met.filter("b IS NULL").select("key", F.col("a").alias("node"), "k", "pos")
     if crowds.head(1):
@@ -264,23 +343,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shares = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
         main = shares.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
         open_ = cut(rooted.join(main, "key"))
-        x, y = (open_.select("key", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "k", "pos", "root")]) for s in "xy")
-        y = y.drop("main")
-        # Members outside a list's largest component meet all of other components, each pair once.
-        once = (F.col("root_x") != F.col("root_y")) & ((F.col("root_y") == F.col("main")) | (F.col("node_x") < F.col("node_y")))
-        most = 1 + F.least(F.col("k_x") - F.col("pos_x") - 1, F.col("k_y") - F.col("pos_y") - 1)
-        fits = most * (level.denominator + level.numerator) >= level.numerator * (F.col("k_x") + F.col("k_y"))
-        rest = x.filter("root_x <> main").join(y, "key").filter(once & fits).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+        drop_cut(rooted)
+        members = open_.groupBy("node").agg(F.count("*").alias("n"))
+        short = cut(nodes.join(members.select("node"), "node", "left_semi").select("node", "sketch").transform(map_batches, _short_sketches, "node bigint, sketch binary"))
+        sketched = join_by_group(open_, members.join(short, "node"), "node", "n", open_.count()).select("key", "main", "node", "k", "pos", "root", "sketch")
+        rest = cut(sketched.repartition("key").transform(map_batches, _open_pairs(level), "a bigint, b bigint"))
+        drop_cut(open_, short)
         edges = edges.unionByName(_similar(rest, texts, nodes, shingle, level))
     roots = components(edges)
     return named.join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("group"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_list: int = LONG_LIST) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, long_list: int = LONG_LIST, linked: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the first.
 
     First is the smallest id, null ids last, then the smaller row key; rows
     that repeat an id and a text are one document, of which one row stays. An
     empty table gives an empty result.
     """
-    return keep_first(docs, near_groups(docs, id_col, text_col, shingle, similarity, long_list), id_col, text_col)
+    return keep_first(docs, near_groups(docs, id_col, text_col, shingle, similarity, long_list, linked), id_col, text_col)

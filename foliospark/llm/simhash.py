@@ -223,6 +223,14 @@ def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_
     return kept.drop(key)
 
 
+def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
+    """``doc_id, row, group``: for each row, with its ``row_key``, the component of its fingerprint."""
+    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
+    fps = cut(own.transform(map_batches, _keyed_fingerprints, "doc_id bigint, row bigint, fp bigint"))
+    named = _components(fps.select("doc_id", "fp"), long_list).select("fp", "n", F.col("root").alias("group"))
+    return join_by_group(fps, named, "fp", "n", fps.count()).select("doc_id", "row", "group")
+
+
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one of each component, as ``keep_first`` says.
 
@@ -230,7 +238,4 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with different texts is several documents; an empty table gives an empty
     result; columns may have any names.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row_key(id_col, text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
-    fps = cut(own.transform(map_batches, _keyed_fingerprints, "doc_id bigint, row bigint, fp bigint"))
-    named = _components(fps.select("doc_id", "fp"), long_list).select("fp", "n", F.col("root").alias("group"))
-    return keep_first(docs, join_by_group(fps, named, "fp", "n", fps.count()).select("doc_id", "row", "group"), id_col, text_col)
+    return keep_first(docs, row_groups(docs, id_col, text_col, long_list), id_col, text_col)

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import random
 import re
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import clashing, frame, some_docs
-from test_dedup import components
+from pyspark.sql import functions as F
+from test_dedup import brute_fingerprint, components
 
 import corpus_pipeline
 from foliospark.llm import near_dedup
+from foliospark.llm.simhash import row_key
 
 
 def shingles(text):
@@ -84,6 +89,52 @@ def test_stage_removes_texts_with_two_words_changed(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(30))
 
 
+def test_stage_links_what_fingerprints_link(spark):
+    """Fingerprints see how often a shingle stands, sets do not: these texts share few of their five-word shingles."""
+    r = random.Random(8)
+    rows = []
+    for i in range(12):
+        often = " ".join([f"w{i}", f"x{i}", f"y{i}"] * 400)
+        rows += [(1000 * k + i, " ".join([often, *[f"u{r.randrange(10**6)}" for _ in range(20)]]), "en", "a", 1) for k in range(3)]
+    fps = {x[0]: brute_fingerprint(x[1]) for x in rows}
+    assert all((fps[i] ^ fps[1000 * k + i]).bit_count() <= 2 for i in range(12) for k in (1, 2))
+    assert len(near_dedup.near_dedup(frame(spark, rows)).collect()) == 36
+    twice = frame(spark, [*rows, rows[5], rows[30]])
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, twice, "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == list(range(12))
+
+
+def test_given_links_and_similar_sets_join(spark):
+    """A chain of a given link and a similar pair is one component, whatever group is named."""
+    r = random.Random(9)
+    text = [" ".join(f"t{r.randrange(5000)}" for _ in range(60)) for _ in range(4)]
+    docs = frame(spark, [(1, text[0], "en", "a", 1), (2, text[1], "en", "a", 1), (3, text[1] + " more", "en", "a", 1), (4, text[2], "en", "a", 1), (5, text[3], "en", "a", 1)])
+    group = F.when(F.col("doc_id").isin(1, 3), 77).otherwise(F.col("doc_id"))
+    linked = docs.select(row_key("doc_id", "text").alias("row"), group.cast("bigint").alias("group"))
+    assert sorted(x["doc_id"] for x in near_dedup.near_dedup(docs, linked=linked).collect()) == [1, 4, 5]
+
+
+def test_long_lists_write_only_pairs_that_sketches_leave(spark):
+    """All similar pairs of different components, and few others, of a crowd that shares one shingle."""
+    r = random.Random(10)
+    level = Fraction("0.8")
+    passage = [f"p{k}" for k in range(12)]
+    own = []
+    for g in range(30):
+        words = [f"v{r.randrange(10**6)}" for _ in range(r.choice([40, 90, 700]))]
+        for _ in range(4):
+            own.append(near_dedup.shingle_set(" ".join([*passage, *words])))
+            words[r.randrange(len(words))] = "other"
+    n = len(own)
+    sketches = [near_dedup._folded(near_dedup.sketch(x), near_dedup.SHORT_SKETCH).tobytes() for x in own]
+    column = lambda x: pa.array(x, pa.int64())
+    batch = pa.RecordBatch.from_arrays([column([1] * n), column([0] * n), column(range(n)), pa.array(map(len, own), pa.int32()), pa.array([0] * n, pa.int32()), column(range(n)), pa.array(sketches, pa.binary())], ["key", "main", "node", "k", "pos", "root", "sketch"])
+    found = {(a, b) for out in near_dedup._open_pairs(level)([batch.slice(0, 50), batch.slice(50)]) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    similar = {(i, j) for j in range(n) for i in range(j) if 5 * len(both := np.intersect1d(own[i], own[j])) >= 4 * (len(own[i]) + len(own[j]) - len(both))}
+    assert similar <= found and len(similar) > 50
+    assert len(found) < n * (n - 1) // 2 / 5
+
+
 def test_rows_of_one_id_are_told_apart_by_text(spark):
     r = random.Random(6)
     text = lambda: " ".join(f"t{r.randrange(5000)}" for _ in range(80))
